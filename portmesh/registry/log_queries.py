@@ -80,12 +80,13 @@ def j9_as_of(spark, folder):
 @query(
     "w1_running_messages",
     with_views(
-        "pair_events",
-        """, c as (select dev, floor(time)::bigint as epoch, count(*) filter (type = 'send') as s,
-                          count(*) filter (type = 'recv') as r from pair_events
-                   where floor(time) <= 3000 group by 1, 2),
+        "u_log",
+        """, c as (select dev, floor(time / 24)::bigint as epoch,
+                          count(*) filter (type = 'send') as s,
+                          count(*) filter (type = 'recv') as r from u_log
+                   where type in ('send', 'recv') group by 1, 2),
              span as (select dev, min(epoch) as lo from c group by 1),
-             grid as (select dev, unnest(generate_series(lo, 3000)) as epoch from span)
+             grid as (select dev, unnest(generate_series(lo, 40)) as epoch from span)
            select g.dev, g.epoch::bigint as epoch,
                   (sum(coalesce(s, 0)) over w)::bigint as messages_sent,
                   (sum(coalesce(r, 0)) over w)::bigint as messages_received
@@ -94,7 +95,9 @@ def j9_as_of(spark, folder):
     ),
 )
 def w1(spark, folder):
-    return tl.running_messages(Commerce(spark, folder).pair_events(), 3000)
+    """Running counts per day, carried on to day 40 after the log has ended."""
+    log = Commerce(spark, folder).log().withColumn("time", F.col("time") / 24)
+    return tl.running_messages(log, 40)
 
 
 TIMELINE = """select id, dev, seq,
