@@ -20,7 +20,7 @@ def blend_channels(
     value: Column, start: Sequence[float], end: Sequence[float], low: Column, high: Column
 ) -> list[Column]:
     """Linear blend per channel, held at ``start`` below ``low`` and at ``end`` above ``high``."""
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(value - low, high - low)))
     return [
         F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.lit(float(a)) + share * (b - a)))).cast(
             "int"
