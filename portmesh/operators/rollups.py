@@ -106,6 +106,85 @@ def border_edges(
     return counted.select(F.lit(level).alias("level"), *keys, "count")
 
 
+def leaf_pairs(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(source_leaf, target_leaf, count): edges between different devices per pair of leaf
+    partitions, the common input of all inner levels."""
+    leaf = partition_columns(parts)[-1]
+    placed = edges_with_partitions(edges.select("source", "target"), parts, [leaf])
+    return (
+        placed.filter(F.col("source") != F.col("target"))
+        .groupBy(
+            F.col(f"source_{leaf}").alias("source_leaf"),
+            F.col(f"target_{leaf}").alias("target_leaf"),
+        )
+        .agg(_count().alias("count"))
+    )
+
+
+def _prefix(leaf: str, parts: Column) -> Column:
+    return F.array_join(F.slice(F.split(leaf, "_"), 1, parts), "_")
+
+
+def inner_partition_edges(pairs: DataFrame, depth: int) -> DataFrame:
+    """``partition_edges`` of all levels above the leaf from ``leaf_pairs``; ``depth`` is the number
+    of partition columns."""
+    levels = pairs.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
+    above = F.col("level") + 1
+    return (
+        levels.filter(_prefix("source_leaf", above) == _prefix("target_leaf", above))
+        .groupBy(
+            "level",
+            _prefix("source_leaf", above).alias("parent"),
+            _prefix("source_leaf", above + 1).alias("source"),
+            _prefix("target_leaf", above + 1).alias("target"),
+        )
+        .agg(F.sum("count").alias("count"))
+    )
+
+
+def inner_border_edges(pairs: DataFrame, depth: int, combine: str = "union") -> DataFrame:
+    """``border_edges`` of all levels above the leaf from ``leaf_pairs``."""
+    if depth < 2:
+        return _no_border(pairs)
+    both = pairs.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("source_leaf").alias("near"), F.col("target_leaf").alias("far"),
+                         F.lit("out").alias("direction")),
+                F.struct(F.col("target_leaf").alias("near"), F.col("source_leaf").alias("far"),
+                         F.lit("in").alias("direction")),
+            )
+        ).alias("e"),
+        "count",
+    ).select("e.*", "count")
+    levels = both.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(depth - 1))))
+    above = F.col("level") + 1
+    keys = ["level", "parent", "higher", "lower"]
+    named = levels.select(
+        "level",
+        _prefix("near", above).alias("parent"),
+        _prefix("near", above + 1).alias("higher"),
+        _prefix("far", above).alias("lower"),
+        "direction",
+        "count",
+    ).filter(F.col("parent") != F.col("lower"))
+    if combine == "sum":
+        return named.groupBy(*keys).agg(F.sum("count").alias("count"))
+    counted = named.groupBy(*keys, "direction").agg(F.sum("count").alias("count"))
+    return counted.select(*keys, "count").distinct()
+
+
+def _no_border(pairs: DataFrame) -> DataFrame:
+    empty = pairs.limit(0)
+    return empty.select(
+        F.lit(0).alias("level"),
+        F.col("source_leaf").alias("parent"),
+        F.col("source_leaf").alias("higher"),
+        F.col("target_leaf").alias("lower"),
+        "count",
+    )
+
+
 def partition_sizes(parts: DataFrame, column: str) -> DataFrame:
     return parts.groupBy(F.col(column).alias("partition_id")).agg(_count().alias("devices"))
 
