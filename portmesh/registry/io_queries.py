@@ -1 +1,453 @@
-"""Queries of one area."""
+"""Sources S1-S9 and sinks K1-K9: what is written is read back and compared with the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from portmesh.functions import typed
+from portmesh.functions.style import bind
+from portmesh.functions.typed import Field
+from portmesh.operators import rollups as roll
+from portmesh.registry import query, with_views
+from portmesh.session import scratch_folder
+from portmesh.sinks import pixels, tables, text, xml
+from portmesh.sources import metis, xml_graph, xml_log, xml_snapshots
+from portmesh.sources.commerce import Commerce
+from portmesh.tables import TYPE_FIELDS, Model
+
+DEVICE_SPEC = (Field("acctbal", type="double"), Field("nationkey", type="int32_t"))
+
+
+@query(
+    "s1_graph_types",
+    """with f as (select distinct p_brand as brand, p_size as size from part)
+       select p_brand as device_type, 'port' as item, p_type as name, 'msg' as type,
+              null::int as length from part group by 1, 3
+       union all
+       select brand, 'field', 'f' || size, case when size % 5 = 0 then 'int16_t' else 'float' end,
+              case when size % 5 = 0 then size end::int from f""",
+)
+def s1(spark, folder):
+    """Parts read as a type catalogue, written as a graph type and read again."""
+    part = Commerce(spark, folder).table("part")
+    size = F.col("p_size")
+    name = F.concat(F.lit("f"), "p_size")
+    values = {
+        "graph_type": F.lit("parts"),
+        "owner_kind": F.lit("device"),
+        "owner": F.col("p_brand"),
+        "section": F.lit("state"),
+        "idx": size,
+        "name": name,
+        "path": name,
+        "kind": F.when(size % 5 == 0, "array").otherwise("scalar"),
+        "type": F.when(size % 5 == 0, "int16_t").otherwise("float"),
+        "length": F.when(size % 5 == 0, size),
+    }
+    fields = part.select("p_brand", "p_size").distinct().select(
+        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TYPE_FIELDS]
+    )
+    ports = part.select("p_brand", "p_type").distinct().select(
+        F.lit("parts").alias("graph_type"),
+        F.col("p_brand").alias("device_type"),
+        F.col("p_type").alias("name"),
+        F.lit("output").alias("direction"),
+        F.lit(0).alias("idx"),
+        F.lit("msg").alias("message_type"),
+    )
+    one = lambda c: part.select(F.lit("parts").alias("graph_type"), c.alias("id")).distinct()
+    catalogue = xml_graph.Catalogue(
+        part.select(F.lit("parts").alias("id")).distinct(),
+        one(F.lit("msg")),
+        one(F.col("p_brand")),
+        ports,
+        fields,
+    )
+    here = scratch_folder(spark, "s1")
+    xml.write_graph_types_xml(catalogue, here)
+    back = xml_graph.read_graph_types(spark, here)
+    none = F.lit(None).cast("int")
+    return back.ports.select(
+        "device_type", F.lit("port").alias("item"), "name", F.col("message_type").alias("type"),
+        none.alias("length"),
+    ).unionByName(
+        back.type_fields.select(
+            F.col("owner").alias("device_type"), F.lit("field").alias("item"), "name", "type",
+            "length",
+        )
+    )
+
+
+@query(
+    "s2_k1_devices_xml",
+    with_views("g_devices", "select id, type, acctbal, nationkey from g_devices"),
+)
+def s2(spark, folder):
+    devices = Commerce(spark, folder).devices()
+    props = typed.encode(F.struct("acctbal", "nationkey"))
+    here = scratch_folder(spark, "s2")
+    xml.write_devices_xml(devices.select("id", "type", props.alias("props")), here)
+    back = xml_graph.read_devices(spark, here)
+    return back.withColumn("v", typed.decode("props", DEVICE_SPEC)).select("id", "type", "v.*")
+
+
+@query(
+    "s3_k1_edges_xml",
+    with_views(
+        "g_edges",
+        """select target || ':' || target_port || '-' || source || ':' || source_port as id,
+                  source, target, source_port, target_port, count(*)::bigint as n
+           from g_edges group by all""",
+    ),
+)
+def s3(spark, folder):
+    here = scratch_folder(spark, "s3")
+    xml.write_edges_xml(Commerce(spark, folder).edges(), here)
+    back = xml_graph.read_edges(spark, here)
+    keys = ["id", "source", "target", "source_port", "target_port"]
+    return back.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "s4_k1_graphs_xml",
+    """select 'g_' || c_custkey as id, c_mktsegment as graph_type, c_nationkey as n from customer""",
+)
+def s4(spark, folder):
+    """One small graph instance per customer."""
+    customer = Commerce(spark, folder).table("customer")
+    graphs = customer.select(
+        F.concat(F.lit("g_"), "c_custkey").alias("id"),
+        F.col("c_mktsegment").alias("graph_type"),
+        F.concat(F.lit('"n":'), "c_nationkey").alias("props"),
+    )
+    here = scratch_folder(spark, "s4")
+    xml.write_graphs_xml(graphs, here)
+    back = xml_graph.read_graphs(spark, here)
+    opened = xml_graph.read_graphs(spark, here, properties=False)
+    n = typed.decode("props", [Field("n", type="int32_t")])["n"]
+    # Both ways of reading must agree on every instance.
+    return back.join(opened, ["id", "graph_type"]).select("id", "graph_type", n.alias("n"))
+
+
+@query(
+    "s5_type_references",
+    """select distinct c_mktsegment as id,
+              case when c_nationkey < 20 then 'types.xml' end as src,
+              c_nationkey >= 20 or c_mktsegment < 'F' as found
+       from customer""",
+)
+def s5(spark, folder):
+    customer = Commerce(spark, folder).table("customer")
+    refs = customer.select(
+        F.col("c_mktsegment").alias("_id"),
+        F.when(F.col("c_nationkey") < 20, "types.xml").alias("_src"),
+    ).distinct()
+    here = scratch_folder(spark, "s5")
+    refs.write.format("xml").option("rowTag", "GraphTypeReference").option(
+        "rootTag", "Graphs"
+    ).save(here)
+    types = customer.filter(F.col("c_mktsegment") < "F").select(F.col("c_mktsegment").alias("id"))
+    return xml_graph.resolve_type_refs(xml_graph.read_type_references(spark, here), types)
+
+
+@query(
+    "s6_k2_events_xml",
+    with_views(
+        "pair_events",
+        """select id, dev, type, time, case type when 'send' then 'out' else 'in' end as port,
+                  send_id, case type when 'send' then id like '%7' end as cancel,
+                  case type when 'send' then 3 end as fanout, value
+           from pair_events where time <= 2000""",
+    ),
+)
+def s6(spark, folder):
+    events = Commerce(spark, folder).pair_events()
+    send = F.col("type") == "send"
+    full = events.select(
+        "id", "dev", "type", "time", "send_id",
+        F.lit(0.0).alias("elapsed"),
+        F.lit(5).cast("bigint").alias("rts"),
+        F.lit(1).cast("bigint").alias("seq"),
+        F.when(send, "out").otherwise("in").alias("port"),
+        F.when(send, F.col("id").endswith("7")).alias("cancel"),
+        F.when(send, 3).alias("fanout"),
+        F.when(send, F.lit('"w":1')).alias("m"),
+        F.concat(F.lit('"value":'), "value").alias("s"),
+        F.array(F.lit("seen"), F.col("id")).alias("l"),
+    )
+    here = scratch_folder(spark, "s6")
+    xml.write_events_xml(full, here)
+    back = xml_log.read_events(spark, here, max_time=2000)
+    good = (
+        (F.col("rts") == 5) & (F.col("seq") == 1) & (F.get("l", 1) == F.col("id"))
+        & (F.col("m").eqNullSafe(F.when(send, F.lit('"w":1'))))
+    )
+    value = typed.decode("s", [Field("value", type="double")])["value"]
+    return back.filter(good).select(
+        "id", "dev", "type", "time", "port", "send_id", "cancel", "fanout", value.alias("value")
+    )
+
+
+@query(
+    "s7_k3_device_snapshots",
+    with_views(
+        "u_states",
+        """select id, epoch, case epoch when 0 then 1 else 0 end as init,
+                  (epoch % 4)::bigint as rts, value from u_states where epoch % 10 = 0""",
+    ),
+)
+def s7(spark, folder):
+    """Daily states, read back at every tenth epoch."""
+    states = Commerce(spark, folder).user_states()
+    rows = states.select(
+        "id", "epoch", F.col("epoch").alias("sequence"),
+        (F.col("epoch") % 4).alias("rts"),
+        typed.encode(F.struct("value")).alias("state"),
+    )
+    here = scratch_folder(spark, "s7")
+    xml.write_snapshots_xml(rows, here, block=50)
+    back = xml_snapshots.read_device_states(spark, here, granularity=1)
+    value = typed.decode("state", [Field("value", type="double")])["value"]
+    return back.select("id", "epoch", "init", "rts", value.alias("value"))
+
+
+@query(
+    "s8_k3_edge_snapshots",
+    with_views(
+        "g_edges",
+        """select target || ':' || target_port || '-' || source || ':' || source_port as id,
+                  7::bigint as epoch, count(*)::bigint as firings,
+                  case when count(*) > 1 then 1 else 0 end::bigint as queued
+           from g_edges group by 1""",
+    ),
+)
+def s8(spark, folder):
+    c = Commerce(spark, folder)
+    fired = c.edges_with_id().groupBy("id").agg(F.count(F.lit(1)).alias("firings"))
+    edges = fired.select(
+        "id",
+        F.lit(7).cast("bigint").alias("epoch"),
+        F.lit(7).cast("bigint").alias("sequence"),
+        "firings",
+        F.lit('"n":1').alias("state"),
+        F.when(F.col("firings") > 1, F.array(F.lit('"m":2')))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("messages"),
+    )
+    devices = c.devices().select(
+        "id", F.lit(7).cast("bigint").alias("epoch"), F.lit(7).cast("bigint").alias("sequence"),
+        F.lit(1).cast("bigint").alias("rts"), F.lit(None).cast("string").alias("state"),
+    )
+    here = scratch_folder(spark, "s8")
+    xml.write_snapshots_xml(devices, here, edges)
+    return xml_snapshots.read_edge_states(spark, here).select("id", "epoch", "firings", "queued")
+
+
+METIS = """, n as (select partition_0 as parent, id,
+                          row_number() over (partition by partition_0 order by id) as node
+                   from g_parts),
+              u as (select least(source, target) as a, greatest(source, target) as b,
+                           count(*) as weight from g_edges group by 1, 2),
+              e as (select x.parent, x.node as na, y.node as nb, weight
+                    from u join n x on a = x.id join n y on b = y.id where x.parent = y.parent)
+"""
+
+
+@query(
+    "s9_k5_metis_graph",
+    with_views(
+        "g_parts g_edges",
+        METIS
+        + """select parent, na::bigint as node, nb::bigint as neighbour, weight::bigint as weight
+             from e union all select parent, nb, na, weight from e""",
+    ),
+)
+def s9(spark, folder):
+    c = Commerce(spark, folder)
+    nodes = c.device_partitions().select(F.col("partition_0").alias("parent"), "id")
+    here = scratch_folder(spark, "s9")
+    text.write_metis(nodes, roll.undirected_weights(c.edges()), here, whole_lines=True)
+    back = metis.read_metis_graph(spark, here, folders=True)
+    return back.select(
+        F.regexp_extract("file", "parent=([^/]+)", 1).alias("parent"), "node", "neighbour", "weight"
+    )
+
+
+@query(
+    "s9_k5_metis_header",
+    with_views(
+        "g_parts g_edges",
+        METIS
+        + """select parent, count(*)::bigint as nodes,
+                    (select count(*) from e where e.parent = n.parent)::bigint as edges,
+                    '001' as format from n group by parent""",
+    ),
+)
+def s9_header(spark, folder):
+    c = Commerce(spark, folder)
+    nodes = c.device_partitions().select(F.col("partition_0").alias("parent"), "id")
+    here = scratch_folder(spark, "s9h")
+    text.write_metis(nodes, roll.undirected_weights(c.edges()), here, whole_lines=True)
+    back = metis.read_metis_header(spark, here, folders=True)
+    parent = F.regexp_extract("file", "parent=([^/]+)", 1)
+    return back.select(parent.alias("parent"), "nodes", "edges", "format")
+
+
+@query(
+    "s9_metis_parts",
+    with_views(
+        "g_parts",
+        """select id, partition_0 || '_' || (node % 7) as partition_id from (
+             select id, partition_0,
+                    row_number() over (partition by partition_0 order by id) as node from g_parts)""",
+    ),
+)
+def s9_parts(spark, folder):
+    """A partitioner's answer: one file per region with the part of node i in line i."""
+    parts = Commerce(spark, folder).device_partitions()
+    nodes = text.number_nodes(parts.select(F.col("partition_0").alias("parent"), "id"))
+    here = scratch_folder(spark, "s9p")
+    answers = nodes.repartition("parent").sortWithinPartitions("parent", "node")
+    answers.select("parent", (F.col("node") % 7).cast("string").alias("part")).write.partitionBy(
+        "parent"
+    ).text(here)
+    back = metis.read_metis_parts(spark, here)
+    named = back.withColumn("parent", F.regexp_extract("file", "parent=([^/]+)", 1))
+    return metis.attach_parts(nodes, named)
+
+
+@query(
+    "k4_tables",
+    with_views(
+        "g_parts g_edges",
+        """select s.partition_1 as source, t.partition_1 as target, count(*)::bigint as count
+           from g_edges join g_parts s on source = s.id join g_parts t on target = t.id
+           where s.partition_0 = t.partition_0 group by 1, 2""",
+    ),
+)
+def k4(spark, folder):
+    """Level 1 of the stored partition edges; writing again with ``ignore`` changes nothing."""
+    c = Commerce(spark, folder)
+    edges, parts = c.edges(), c.device_partitions()
+    levels = roll.inner_partition_edges(roll.leaf_pairs(edges, parts), 2)
+    here = scratch_folder(spark, "k4")
+    tables.save_model(Model(partition_edges=levels), here)
+    tables.save_model(Model(partition_edges=levels.limit(0)), here, mode="ignore")
+    stored = tables.load_model(spark, here, ["partition_edges"]).partition_edges
+    return stored.filter("level = 1").select("source", "target", "count")
+
+
+@query(
+    "k6_dot",
+    with_views(
+        "g_devices g_edges g_ports",
+        """select '  "' || id || '" [shape=' || case type when 'customer' then 'oval' else 'box' end
+                  || case when type = 'customer'
+                          then ',width="' || (nationkey + 1) || '",style="filled"' else ',' end
+                  || '];' as statement
+           from g_devices
+           union all
+           select '  "' || source || '" -> "' || target || '" [color="' ||
+                  case target_port when 'in_R' then 'blue4' else 'red4' end || '"];'
+           from g_edges
+           union all select unnest(['digraph "shop"{', '  sep="+10,10";', '  overlap=false;',
+                                    '  spline=true;', '}'])""",
+    ),
+)
+def k6(spark, folder):
+    """Device shapes by type, customers with a bound width; edge colours by message type."""
+    c = Commerce(spark, folder)
+    devices = bind(
+        c.devices().withColumnRenamed("nationkey", "property_nationkey"),
+        "customer", "property", "nationkey", "width", "value + 1",
+    )
+    inputs = c.ports().filter("direction = 'input'").select(
+        F.col("name").alias("target_port"), "message_type"
+    )
+    edges = c.edges_with_id().join(inputs, "target_port")
+    return text.dot_statements(devices, edges, "shop", device_attributes=("width",)).select(
+        "statement"
+    )
+
+
+@query(
+    "k7_event_dot",
+    with_views(
+        "u_log",
+        """select '    "' || p || '" -> "' || id || '" [ style="dotted" ] ;' as statement from (
+             select id, lag(id) over (partition by dev order by seq, id) as p from u_log)
+           where p is not null
+           union all select distinct '  subgraph cluster_' || dev || ' {' from u_log
+           union all select '  }' from (select distinct dev from u_log)
+           union all select '  "' || (id::bigint // 2) || '" -> "' || id || '";' from u_log
+                     where type = 'recv'
+           union all select unnest(['digraph "graph"{', '  overlap=false;', '  newrank=true;', '}'])
+           union all
+           select '"' || id || '" [ shape=none, margin=0, label=< <TABLE><TR><TD colspan="2">' ||
+                  case type when 'init' then '__init__' when 'send' then 'Send : ' || port
+                            else 'Recv : ' || port end || '</TD></TR>' ||
+                  '<TR><TD>t</TD><TD ' || case when type is distinct from pt then 'color="red"'
+                                               else '' end || '>' || type || '</TD></TR>' ||
+                  case type when 'send' then
+                    '<TR><TD colspan="2">Message</TD></TR><TR><TD>seq</TD><TD>' || seq || '</TD></TR>'
+                    else '' end || '</TABLE> > ];'
+           from (select *, lag(type) over (partition by dev order by seq, id) as pt from u_log)""",
+    ),
+)
+def k7(spark, folder):
+    log = Commerce(spark, folder).log()
+    events = log.select(
+        "id", "dev", "type", "seq", "port",
+        F.floor(F.col("id").cast("bigint") / 2).cast("string").alias("send_id"),
+        F.concat(F.lit('"t":"'), "type", F.lit('"')).alias("s"),
+        F.when(F.col("type") == "send", F.concat(F.lit('"seq":'), "seq")).alias("m"),
+    )
+    return text.event_dot_statements(events).select("statement")
+
+
+@query(
+    "k8_json",
+    with_views(
+        "g_parts",
+        """select '{"partition_id":"' || partition_1 || '","devices":' || count(*) || '}' as json
+           from g_parts group by partition_1""",
+    ),
+)
+def k8(spark, folder):
+    parts = Commerce(spark, folder).device_partitions()
+    here = scratch_folder(spark, "k8")
+    pixels.write_json(roll.partition_sizes(parts, "partition_1"), here)
+    back = spark.read.schema("partition_id string, devices bigint").json(here)
+    return pixels.as_json(back)
+
+
+def _hot(c):
+    return f"greatest(0, least(255, floor({c})))::int"
+
+
+@query(
+    "k9_raster",
+    f"""with p as (select c_custkey as id, c_custkey // 40 as x, c_custkey % 40 as y,
+                          c_acctbal as v, greatest(0.0, least(1.0, c_acctbal / 4000.0)) as cold,
+                          greatest(0.0, least(1.0, (c_acctbal - 4000.0) / 4000.0)) as hot
+                   from customer)
+        select 0::bigint as epoch, 1 as init, x - (select min(x) from p) as x,
+               y - (select min(y) from p) as y,
+               case when v < 4000 then {_hot('cold * 255')} else 255 end as r,
+               case when v < 4000 then {_hot('cold * 255')} else {_hot('255.0 + hot * -255')} end as g,
+               case when v < 4000 then 255 else {_hot('255.0 + hot * -255')} end as b
+        from p""",
+)
+def k9(spark, folder):
+    customer = Commerce(spark, folder).table("customer")
+    key = F.col("c_custkey")
+    positions = customer.select(
+        key.alias("id"), F.floor(key / 40).alias("x"), (key % 40).alias("y")
+    )
+    states = customer.select(
+        key.alias("id"),
+        F.lit(0).cast("bigint").alias("epoch"),
+        F.lit(1).alias("init"),
+        F.col("c_acctbal").alias("v"),
+    )
+    return pixels.raster(states, positions, F.col("v"), 0, 8000)

@@ -65,18 +65,24 @@ def metis_pieces(numbered: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def write_metis(
-    nodes: DataFrame, weights: DataFrame, path: str, mode: str = "errorifexists"
+    nodes: DataFrame,
+    weights: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    whole_lines: bool = False,
 ) -> DataFrame:
     """Write ``V E 001`` and one adjacency line per node, one folder per parent partition.
 
     ``nodes(parent, id)``, ``weights(a, b, weight)`` of unordered pairs; edges between different
-    parents are left out. The part files of a folder, in name order, are one METIS file. Returns
-    the node numbers, which are needed to read the partitioner's answer.
+    parents are left out. The part files of a folder, in name order, are one METIS file. The line of
+    a hub may cross part files unless ``whole_lines``. Returns the node numbers, which are needed to
+    read the partitioner's answer.
     """
     numbered = checkpoint(number_nodes(nodes))
     pieces = metis_pieces(numbered, weights)
+    cut = ["parent", "node"] if whole_lines else ["parent", "node", "piece"]
     (
-        pieces.repartitionByRange("parent", "node", "piece")
+        pieces.repartitionByRange(*cut)
         .sortWithinPartitions("parent", "node", "piece")
         .select("parent", "value")
         .write.mode(mode)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portmesh.functions.scalars import edge_id, to_hex
+from portmesh.sources.xml_graph import GRAPH_TYPE, Catalogue
 from portmesh.sources.xml_log import event_tag
 
 
@@ -28,6 +29,83 @@ def _blank_to_null(name: str, df: DataFrame) -> Column:
     return F.when(F.col(name) != "", F.col(name))
 
 
+def _section(fields: list, prefix: str = "") -> dict | None:
+    """The declarations directly under ``prefix`` as Scalar, Array, Union and Tuple elements."""
+    out: dict[str, list] = {}
+    for f in fields:
+        inside = f["path"][len(prefix) :] if f["path"].startswith(prefix) else ""
+        if not inside or "." in inside:
+            continue
+        element = {"_name": f["name"]}
+        if f["kind"] == "scalar":
+            element |= {"_type": f["type"], "_default": f["default"]}
+        elif f["kind"] == "array":
+            element |= {"_type": f["type"], "_length": str(f["length"])}
+        elif f["kind"] == "tuple":
+            element |= _section(fields, f["path"] + ".") or {}
+        out.setdefault(f["kind"].capitalize(), []).append(element)
+    return out or None
+
+
+def write_graph_types_xml(
+    catalogue: Catalogue, path: str, namespace: str | None = None, mode: str = "errorifexists"
+) -> None:
+    """Type declarations. The catalogue is as small as the declarations and passes the driver."""
+    fields = catalogue.type_fields.orderBy("owner", "port", "section", "idx").collect()
+    messages, devices = catalogue.message_types.collect(), catalogue.device_types.collect()
+    ports = catalogue.ports.orderBy("device_type", "direction", "idx", "name").collect()
+
+    def section(graph: str, kind: str, owner: str, name: str, port: str | None = None):
+        return _section(
+            [
+                f for f in by_owner.get((graph, kind, owner), [])
+                if f["section"] == name and f["port"] == port
+            ]
+        )
+
+    by_owner: dict[tuple, list] = {}
+    for f in fields:
+        by_owner.setdefault((f["graph_type"], f["owner_kind"], f["owner"]), []).append(f)
+    by_device: dict[tuple, list] = {}
+    for p in ports:
+        by_device.setdefault((p["graph_type"], p["device_type"], p["direction"]), []).append(p)
+
+    def port_row(g: str, d: str, p) -> dict:
+        return {
+            "_name": p["name"],
+            "_messageTypeId": p["message_type"],
+            "Properties": section(g, "port", d, "properties", p["name"]),
+            "State": section(g, "port", d, "state", p["name"]),
+        }
+
+    rows = []
+    for g in [r["id"] for r in catalogue.graph_types.select("id").collect()]:
+        own_messages = [
+            {"_id": m["id"], "Message": section(g, "message", m["id"], "message")}
+            for m in messages if m["graph_type"] == g
+        ]
+        own_devices = [
+            {
+                "_id": d["id"],
+                "Properties": section(g, "device", d["id"], "properties"),
+                "State": section(g, "device", d["id"], "state"),
+                "InputPort": [port_row(g, d["id"], p) for p in by_device.get((g, d["id"], "input"), [])],
+                "OutputPort": [port_row(g, d["id"], p) for p in by_device.get((g, d["id"], "output"), [])],
+            }
+            for d in devices if d["graph_type"] == g
+        ]
+        rows.append(
+            {
+                "_id": g,
+                "Properties": section(g, "graph", g, "properties"),
+                "MessageTypes": {"MessageType": own_messages},
+                "DeviceTypes": {"DeviceType": own_devices},
+            }
+        )
+    spark = catalogue.graph_types.sparkSession
+    _write(spark.createDataFrame(rows, GRAPH_TYPE), path, "GraphType", "Graphs", namespace, mode)
+
+
 def write_graphs_xml(
     graphs: DataFrame, path: str, namespace: str | None = None, mode: str = "errorifexists"
 ) -> None:

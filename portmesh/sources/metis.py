@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portmesh.sources.lines import read_numbered_lines
@@ -12,12 +12,36 @@ def _tokens(value: Column) -> Column:
     return F.filter(F.split(F.trim(value), r"\s+"), lambda t: t != "")
 
 
-def read_metis_graph(spark: SparkSession, path: str, weighted: bool = True) -> DataFrame:
+def _lines(spark: SparkSession, path: str, folders: bool) -> DataFrame:
+    """Numbered lines per file, or per folder whose part files follow one another in name order.
+
+    A part file ends with a separator after its last line break, which reads as one more line.
+    """
+    lines = read_numbered_lines(spark, path)
+    if not folders:
+        return lines
+    sizes = lines.groupBy("file").agg(F.max("line").alias("_size"))
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    before = Window.partitionBy(folder).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "file", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off")
+    )
+    return (
+        lines.join(offsets, "file")
+        .filter(F.col("line") < F.col("_size"))
+        .select(folder.alias("file"), (F.col("line") + F.col("_off")).alias("line"), "value")
+    )
+
+
+def read_metis_graph(
+    spark: SparkSession, path: str, weighted: bool = True, folders: bool = False
+) -> DataFrame:
     """(file, node, neighbour, weight): line *i* after the header lists the neighbours of node *i*.
 
-    Every undirected edge appears from both of its ends, as in the file.
+    Every undirected edge appears from both of its ends, as in the file. ``folders=True`` reads what
+    ``write_metis`` wrote with whole lines, one folder per graph.
     """
-    rows = read_numbered_lines(spark, path).filter(F.col("line") > 0)
+    rows = _lines(spark, path, folders).filter(F.col("line") > 0)
     tokens = _tokens(F.col("value"))
     step = 2 if weighted else 1
     n = F.floor(F.size(tokens) / step).cast("int")
@@ -38,9 +62,9 @@ def read_metis_graph(spark: SparkSession, path: str, weighted: bool = True) -> D
     )
 
 
-def read_metis_header(spark: SparkSession, path: str) -> DataFrame:
+def read_metis_header(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
     """(file, nodes, edges, format) from the first line of every file."""
-    first = read_numbered_lines(spark, path).filter(F.col("line") == 0)
+    first = _lines(spark, path, folders).filter(F.col("line") == 0)
     t = _tokens(F.col("value"))
     return first.select(
         "file",

@@ -12,7 +12,7 @@ from portmesh.functions.scalars import edge_id, split_path, valid_path
 from portmesh.tables import TYPE_FIELDS
 
 # Deepest nesting of tuples inside tuples that the catalogue reads.
-TUPLE_DEPTH = 3
+TUPLE_DEPTH = 2
 
 TEXT = T.StringType()
 
