@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,19 +128,16 @@ def _flatten(section: Column, prefix: Column, depth: int) -> Column:
     return F.concat(*[F.coalesce(g, empty) for g in groups])
 
 
-def _section_fields(
+def _sections(
     rows: DataFrame, section: str, name: str, kind: str, owner: Column, port: Column
 ) -> DataFrame:
-    fields = _flatten(F.col(section), F.lit(""), TUPLE_DEPTH)
     return rows.filter(F.col(section).isNotNull()).select(
         "graph_type",
         F.lit(kind).alias("owner_kind"),
         owner.alias("owner"),
         port.alias("port"),
         F.lit(name).alias("section"),
-        F.posexplode(fields).alias("idx", "f"),
-    ).select("graph_type", "owner_kind", "owner", "port", "section", "idx", "f.*").select(
-        *[f.name for f in TYPE_FIELDS]
+        F.col(section).alias("_members"),
     )
 
 
@@ -171,19 +169,24 @@ def read_graph_types(spark: SparkSession, path: str) -> Catalogue:
     all_ports = ports_of("InputPort", "input").unionByName(ports_of("OutputPort", "output"))
     inputs = all_ports.filter(F.col("direction") == "input")
     owner = F.col("_id")
-    fields = [
-        _section_fields(types, "Properties", "properties", "graph", F.col("graph_type"), no_port),
-        _section_fields(messages, "Message", "message", "message", owner, no_port),
-        _section_fields(devices, "Properties", "properties", "device", owner, no_port),
-        _section_fields(devices, "State", "state", "device", owner, no_port),
-        _section_fields(
-            inputs, "Properties", "properties", "port", F.col("device_type"), F.col("_name")
-        ),
-        _section_fields(inputs, "State", "state", "port", F.col("device_type"), F.col("_name")),
+    sections = [
+        _sections(types, "Properties", "properties", "graph", F.col("graph_type"), no_port),
+        _sections(messages, "Message", "message", "message", owner, no_port),
+        _sections(devices, "Properties", "properties", "device", owner, no_port),
+        _sections(devices, "State", "state", "device", owner, no_port),
+        _sections(inputs, "Properties", "properties", "port", F.col("device_type"), F.col("_name")),
+        _sections(inputs, "State", "state", "port", F.col("device_type"), F.col("_name")),
     ]
-    type_fields = fields[0]
-    for other in fields[1:]:
-        type_fields = type_fields.unionByName(other)
+    type_fields = (
+        reduce(DataFrame.unionByName, sections)
+        .withColumn("_f", _flatten(F.col("_members"), F.lit(""), TUPLE_DEPTH))
+        .select(
+            "graph_type", "owner_kind", "owner", "port", "section",
+            F.posexplode("_f").alias("idx", "f"),
+        )
+        .select("graph_type", "owner_kind", "owner", "port", "section", "idx", "f.*")
+        .select(*[f.name for f in TYPE_FIELDS])
+    )
     return Catalogue(
         graph_types=types.select(
             F.col("graph_type").alias("id"), metadata(F.col("MetaData")).alias("metadata")
