@@ -143,7 +143,7 @@ def number_within(
     df: DataFrame, group: Sequence[str], order: Sequence[str], alias: str = "index"
 ) -> DataFrame:
     """1-based position of every row in ``order`` inside its group, safe for very large groups."""
-    numbered = checkpoint(number_rows(df, [*group, *order], "_global"))
+    numbered = number_rows(df, [*group, *order], "_global")
     starts = numbered.groupBy(*group).agg(F.min("_global").alias("_start"))
     return (
         numbered.join(starts, list(group))

@@ -10,11 +10,11 @@ from portmesh.functions.typed import merged_spec, specs_of, widen
 from portmesh.operators import rollups as roll
 from portmesh.operators.partitioning import partition_hierarchy
 from portmesh.session import checkpoint
-from portmesh.sinks.tables import save_model
+from portmesh.sinks.tables import load_model, save_model
 from portmesh.sources.xml_graph import read_devices, read_edges, read_graph_types, read_graphs
 from portmesh.sources.xml_log import read_events
 from portmesh.sources.xml_snapshots import read_device_states, read_edge_states
-from portmesh.tables import Model, partition_columns, storage_class
+from portmesh.tables import TYPE_FIELDS, Model, partition_columns, storage_class
 
 
 def build_model(
@@ -72,7 +72,9 @@ def read_model(
 ) -> tuple[Model, list[str]]:
     """Read the XML files of a run; also returns the state fields that can be ranged over."""
     catalogue = read_graph_types(spark, graph)
-    fields = catalogue.type_fields.filter(F.col("owner_kind") == "device")
+    # The declarations are few; keep them at hand instead of parsing the file for every use.
+    declared = spark.createDataFrame(catalogue.type_fields.collect(), TYPE_FIELDS)
+    fields = declared.filter(F.col("owner_kind") == "device")
     properties = merged_spec(list(specs_of(fields, "properties").values()))
     state = merged_spec(list(specs_of(fields, "state").values()))
     devices, edges = read_devices(spark, graph), read_edges(spark, graph)
@@ -81,7 +83,7 @@ def read_model(
         "message_types": catalogue.message_types,
         "device_types": catalogue.device_types,
         "ports": catalogue.ports,
-        "type_fields": catalogue.type_fields,
+        "type_fields": declared,
         "devices": devices,
         "device_properties": widen(devices.select("id", "type", "props"), properties),
         "edges": edges,
@@ -111,7 +113,12 @@ def build_from_xml(
     rounds: int = 4,
 ) -> Model:
     """Files in, Parquet tables out: the whole initial build."""
-    model, ranged = read_model(spark, graph, log, snapshots, max_epoch, granularity)
-    built = build_model(model, nodes_per_part, max_epoch, granularity, rounds, ranged)
-    save_model(built, out, mode)
-    return built
+    given, ranged = read_model(spark, graph, log, snapshots, max_epoch, granularity)
+    # Parse every file once; everything derived reads the stored columns.
+    save_model(given, out, mode)
+    stored = load_model(spark, out, list(given.tables()))
+    built = build_model(stored, nodes_per_part, max_epoch, granularity, rounds, ranged)
+    kept = set(given.tables())
+    derived = {name: df for name, df in built.tables().items() if name not in kept}
+    save_model(Model(**derived), out, mode)
+    return load_model(spark, out, list(built.tables()))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +30,16 @@ def save_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists")
     writer.parquet(f"{path}/{name}")
 
 
-def save_model(model: Model, path: str, mode: str = "errorifexists") -> None:
-    for name, df in model.tables().items():
-        save_table(df, path, name, mode)
+def save_model(model: Model, path: str, mode: str = "errorifexists", together: int = 4) -> None:
+    """Write all tables of a model, up to ``together`` at a time, as they do not depend on each
+    other."""
+    with ThreadPoolExecutor(together) as pool:
+        jobs = [
+            pool.submit(inheritable_thread_target(df.sparkSession)(save_table), df, path, name, mode)
+            for name, df in model.tables().items()
+        ]
+        for job in jobs:
+            job.result()
 
 
 def load_model(spark: SparkSession, path: str, names: list[str]) -> Model:
