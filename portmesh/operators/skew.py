@@ -3,7 +3,8 @@
 A window over ``partitionBy(key)`` puts all rows of a key into one task. Here the few keys that are
 too large are cut into consecutive *runs* along their order column. Windows work inside a run, and a
 small table with one row per run carries the state from one run to the next. Which run a row belongs
-to depends only on the row and on per-key totals, so a recomputed task gives the same runs.
+to depends only on the row and on per-key totals, so a recomputed task gives the same runs. The totals
+are counted first; when no key is too large, a plain window with a single shuffle is used.
 """
 
 from __future__ import annotations
@@ -34,15 +35,29 @@ def split_keys(df: DataFrame, keys: Sequence[str], order: str, rows_per_run: int
     return top.select(*keys, "_lo", width.alias("_width"))
 
 
-def with_runs(
+def find_large(
     df: DataFrame, keys: Sequence[str], order: str, rows_per_run: int = ROWS_PER_RUN
-) -> DataFrame:
-    """Add ``_run``: NULL for keys left whole, else the number of the row's run along ``order``."""
-    large = F.broadcast(split_keys(df, keys, order, rows_per_run))
-    run = F.when(
+) -> DataFrame | None:
+    """The keys to split, counted now and kept, or None when every key fits into one task."""
+    large = checkpoint(split_keys(df, keys, order, rows_per_run))
+    return None if large.isEmpty() else F.broadcast(large)
+
+
+def _in_run(order: str) -> Column:
+    return F.when(
         F.col("_width") > 0, F.floor((F.col(order) - F.col("_lo")).cast("double") / F.col("_width"))
-    )
-    return df.join(large, list(keys), "left").withColumn("_run", run).drop("_lo", "_width")
+    ).otherwise(F.when(F.col("_width").isNotNull(), 0))
+
+
+def with_runs(df: DataFrame, keys: Sequence[str], order: str, large: DataFrame) -> DataFrame:
+    """Add ``_run``: NULL for keys left whole, else the number of the row's run along ``order``."""
+    joined = df.join(large, list(keys), "left")
+    return joined.withColumn("_run", _in_run(order)).drop("_lo", "_width")
+
+
+def _only_split(df: DataFrame, keys: Sequence[str], order: str, large: DataFrame) -> DataFrame:
+    """The rows of split keys with their run."""
+    return df.join(large, list(keys)).withColumn("_run", _in_run(order)).drop("_lo", "_width")
 
 
 def _carry_in(tails: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -66,15 +81,18 @@ def previous_in_order(
     rows_per_run: int = ROWS_PER_RUN,
 ) -> DataFrame:
     """Add struct ``alias`` with ``values`` of the row before in (``order``, ``ties``) per key."""
-    runs = with_runs(df, keys, order, rows_per_run)
     packed = F.struct(*values)
+    large = find_large(df, keys, order, rows_per_run)
+    if large is None:
+        whole = Window.partitionBy(*keys).orderBy(order, *ties)
+        return df.withColumn(alias, F.lag(packed).over(whole))
     inside = Window.partitionBy(*keys, "_run").orderBy(order, *ties)
     tails = (
-        runs.filter(F.col("_run").isNotNull())
+        _only_split(df, keys, order, large)
         .groupBy(*keys, "_run")
         .agg(F.max_by(packed, F.struct(order, *ties)).alias("_tail"))
     )
-    near = runs.withColumn("_near", F.lag(packed).over(inside))
+    near = with_runs(df, keys, order, large).withColumn("_near", F.lag(packed).over(inside))
     joined = _attach(near, _carry_in(tails, keys), keys)
     return joined.withColumn(alias, F.coalesce("_near", "_carry")).drop("_near", "_carry", "_run")
 
@@ -89,22 +107,21 @@ def last_known(
     rows_per_run: int = ROWS_PER_RUN,
 ) -> DataFrame:
     """Add ``alias``: the latest non-NULL ``value`` up to and including the row, per key."""
-    runs = with_runs(df, keys, order, rows_per_run).withColumn("_value", value)
-    upto = (
-        Window.partitionBy(*keys, "_run")
-        .orderBy(order, *ties)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    valued = df.withColumn("_value", value)
+    large = find_large(df, keys, order, rows_per_run)
+    frame = (Window.unboundedPreceding, 0)
+    latest = F.last("_value", ignorenulls=True)
+    if large is None:
+        whole = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(*frame)
+        return valued.withColumn(alias, latest.over(whole)).drop("_value")
+    upto = Window.partitionBy(*keys, "_run").orderBy(order, *ties).rowsBetween(*frame)
+    rank = F.when(F.col("_value").isNotNull(), F.struct(order, *ties))
     tails = (
-        runs.filter(F.col("_run").isNotNull())
+        _only_split(valued, keys, order, large)
         .groupBy(*keys, "_run")
-        .agg(
-            F.max_by(
-                "_value", F.when(F.col("_value").isNotNull(), F.struct(order, *ties))
-            ).alias("_tail")
-        )
+        .agg(F.max_by("_value", rank).alias("_tail"))
     )
-    near = runs.withColumn("_near", F.last("_value", ignorenulls=True).over(upto))
+    near = with_runs(valued, keys, order, large).withColumn("_near", latest.over(upto))
     joined = _attach(near, _carry_in(tails, keys), keys)
     return joined.withColumn(alias, F.coalesce("_near", "_carry")).drop(
         "_near", "_carry", "_run", "_value"

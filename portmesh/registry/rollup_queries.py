@@ -33,8 +33,8 @@ def r6(column):
 )
 def a1(spark, folder):
     c = Commerce(spark, folder)
-    edges, parts = c.edges(), c.device_partitions()
-    return roll.partition_edges(edges, parts, 0).unionByName(roll.partition_edges(edges, parts, 1))
+    pairs = roll.leaf_pairs(c.edges(), c.device_partitions())
+    return roll.inner_partition_edges(pairs, depth=2)
 
 
 @query(
@@ -222,11 +222,10 @@ def a16(spark, folder):
     with_views(
         "g_edges",
         """, sends as (select 's_' || l_suppkey as dev, 'out_' || l_linestatus as port
-                      from lineitem where l_discount = 0.1),
+                      from lineitem),
              fired as (select distinct e.* from g_edges e
                        join sends s on e.source = s.dev and e.source_port = s.port),
-             own as (select dev as id from sends union select 's_' || s_suppkey from supplier
-                     where s_acctbal > 5000)
+             own as (select dev as id from sends union select 's_' || s_suppkey from supplier)
            select 'device' as kind, id from (select id from own union select source from fired
                                              union select target from fired)
            union all
@@ -236,19 +235,13 @@ def a16(spark, folder):
 )
 def a20(spark, folder):
     c = Commerce(spark, folder)
-    sends = (
-        c.table("lineitem")
-        .filter(F.col("l_discount") == 0.1)
-        .select(
-            F.concat(F.lit("s_"), "l_suppkey").alias("dev"),
-            F.lit("send").alias("type"),
-            F.concat(F.lit("out_"), "l_linestatus").alias("port"),
-        )
+    sends = c.table("lineitem").select(
+        F.concat(F.lit("s_"), "l_suppkey").alias("dev"),
+        F.lit("send").alias("type"),
+        F.concat(F.lit("out_"), "l_linestatus").alias("port"),
     )
-    inits = (
-        c.table("supplier")
-        .filter(F.col("s_acctbal") > 5000)
-        .select(F.concat(F.lit("s_"), "s_suppkey").alias("dev"), F.lit("init").alias("type"))
+    inits = c.table("supplier").select(
+        F.concat(F.lit("s_"), "s_suppkey").alias("dev"), F.lit("init").alias("type")
     )
     events = sends.unionByName(inits, allowMissingColumns=True).withColumns(
         {

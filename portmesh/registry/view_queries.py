@@ -21,10 +21,9 @@ def _structure_model(c: Commerce) -> Model:
     counts = roll.message_counts(c.pair_events())
     sent = counts.withColumnRenamed("dev", "id")
     properties = devices.select("id", "nationkey").join(sent, "id", "left").fillna(0)
-    levels = roll.partition_edges(edges, parts, 0)
-    for level in (1, 2):
-        levels = levels.unionByName(roll.partition_edges(edges, parts, level))
-    borders = roll.border_edges(edges, parts, 1).unionByName(roll.border_edges(edges, parts, 2))
+    pairs = roll.leaf_pairs(edges, parts)
+    levels = roll.inner_partition_edges(pairs, 2).unionByName(roll.partition_edges(edges, parts, 2))
+    borders = roll.inner_border_edges(pairs, 2).unionByName(roll.border_edges(edges, parts, 2))
     return Model(
         devices=devices,
         device_partitions=parts,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from portmesh.functions.scalars import edge_id
 
 DAY_ZERO = "1995-01-01"
-CLICK_ZERO_US = 1704067200000000  # 2024-01-01T00:00Z in microseconds
+CLICK_ZERO = "2024-01-01 00:00:00"
 
 
 class Commerce:
@@ -119,7 +119,9 @@ class Commerce:
 
     def log(self) -> DataFrame:
         kind = F.col("event_type")
-        micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(CLICK_ZERO_US)
+        # Both sides go through the session's zone, which cancels out.
+        zero = F.lit(CLICK_ZERO).cast("timestamp_ntz").cast("timestamp")
+        micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(zero)
         return self.table("events").select(
             F.col("event_id").cast("string").alias("id"),
             F.concat(F.lit("u_"), "user_id").alias("dev"),

@@ -50,7 +50,8 @@ def test_previous_in_order(log, log_df, size):
 
 
 def test_runs_cut_only_large_keys(log_df):
-    runs = skew.with_runs(log_df, ["dev"], "seq", 50)
+    assert skew.find_large(log_df, ["dev"], "seq", 1000) is None
+    runs = skew.with_runs(log_df, ["dev"], "seq", skew.find_large(log_df, ["dev"], "seq", 50))
     assert {r["dev"] for r in runs.filter("_run is not null").collect()} == {"h"}
     largest = runs.groupBy("dev", "_run").count().agg(F.max("count")).first()[0]
     assert largest <= 52
