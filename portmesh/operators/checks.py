@@ -158,7 +158,9 @@ def log_order(events: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
         key,
         F.concat(F.lit("seq occurs "), F.col("_n"), F.lit(" times")),
     )
-    ordered = previous_in_order(steps, ["dev"], "seq", [], ["_last"], "_prev", rows_per_run)
+    ordered = previous_in_order(
+        steps, ["dev"], "seq", [], ["_last"], "_prev", rows_per_run, counted=events
+    )
     back = ordered.filter(F.col("_first") < F.col("_prev._last"))
     return twice.unionByName(_violation(back, "V9", key, "time goes back"))
 

@@ -169,8 +169,9 @@ def state_as_of(
     asked = probes.groupBy("dev", "time").agg(F.count(F.lit(1)).alias("_copies"))
     asked = asked.select("dev", "time", F.lit(1).alias("_probe"), "_copies")
     both = facts.unionByName(asked, allowMissingColumns=True)
+    counted = events.select("dev", "time").unionByName(probes.select("dev", "time"))
     known = last_known(
-        both, ["dev"], "time", ["_probe"], F.col("_state"), "_latest", rows_per_run
+        both, ["dev"], "time", ["_probe"], F.col("_state"), "_latest", rows_per_run, counted
     ).filter(F.col("_probe") == 1)
     answers = known.select("dev", "time", *[F.col(f"_latest.{c}").alias(c) for c in columns])
     return probes.join(answers, ["dev", "time"], "left")

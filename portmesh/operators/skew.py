@@ -79,10 +79,14 @@ def previous_in_order(
     values: Sequence[str],
     alias: str = "previous",
     rows_per_run: int = ROWS_PER_RUN,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Add struct ``alias`` with ``values`` of the row before in (``order``, ``ties``) per key."""
+    """Add struct ``alias`` with ``values`` of the row before in (``order``, ``ties``) per key.
+
+    ``counted`` is a cheaper table to find the large keys in, when ``df`` is a reduction of it.
+    """
     packed = F.struct(*values)
-    large = find_large(df, keys, order, rows_per_run)
+    large = find_large(df if counted is None else counted, keys, order, rows_per_run)
     if large is None:
         whole = Window.partitionBy(*keys).orderBy(order, *ties)
         return df.withColumn(alias, F.lag(packed).over(whole))
@@ -105,10 +109,11 @@ def last_known(
     value: Column,
     alias: str,
     rows_per_run: int = ROWS_PER_RUN,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``alias``: the latest non-NULL ``value`` up to and including the row, per key."""
     valued = df.withColumn("_value", value)
-    large = find_large(df, keys, order, rows_per_run)
+    large = find_large(df if counted is None else counted, keys, order, rows_per_run)
     frame = (Window.unboundedPreceding, 0)
     latest = F.last("_value", ignorenulls=True)
     if large is None:
