@@ -105,3 +105,9 @@ def with_views(names: str, body: str) -> str:
     views = ", ".join(f"{name} as ({VIEWS[name]})" for name in ordered)
     joint = " " if body.lstrip().startswith(",") else "\n"
     return f"with {views}{joint}{body}"
+
+
+def settled(sql: str) -> str:
+    """``sql`` with its result worked out before anything around it: DuckDB otherwise turns some joins
+    under a LIMIT into loops that don't end in reasonable time."""
+    return f"with result as materialized ({sql}) select * from result"

@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from portmesh.operators import relations as rel
 from portmesh.operators import timelines as tl
-from portmesh.registry import query, with_views
+from portmesh.registry import query, settled, with_views
 from portmesh.sources.commerce import Commerce
 
 
 @query(
     "j6_message_pairs",
-    with_views(
+    settled(with_views(
         "pair_events",
         """select r.id as recv_id, s.id as send_id, s.dev as source, r.dev as target,
                   r.time - s.time as latency
            from pair_events r join pair_events s on r.send_id = s.id and s.type = 'send'
            where r.type = 'recv'""",
-    ),
+    )),
 )
 def j6(spark, folder):
     pairs = rel.message_pairs(Commerce(spark, folder).pair_events())

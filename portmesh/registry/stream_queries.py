@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from portmesh.registry import query, with_views
+from portmesh.registry import query, settled, with_views
 from portmesh.registry.rollup_queries import r6
 from portmesh.session import scratch_folder
 from portmesh.sources.commerce import Commerce
@@ -91,13 +91,13 @@ def st3(spark, folder):
 
 @query(
     "st4_pair_messages",
-    with_views(
+    settled(with_views(
         "pair_events",
         """select r.id as recv_id, s.id as send_id, s.dev as source, r.dev as target,
                   r.time - s.time as latency
            from pair_events r join pair_events s on r.send_id = s.id and s.type = 'send'
            where r.type = 'recv'""",
-    ),
+    )),
 )
 def st4(spark, folder):
     """Days count as seconds; a line may be shipped years before or after its order date."""
