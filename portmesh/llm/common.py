@@ -63,9 +63,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_view(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to words (all but ASCII white space), and the bytes to hash."""
+    return ~_IS_BLANK[raw], raw
+
+
+def _piece_hashes(raw: np.ndarray, view) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mask, raw = view(raw)
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_IS_BLANK[raw]
+    inside[1:-1] = mask
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     up, down = _power_tables(len(raw) + 1)
@@ -75,13 +81,13 @@ def _piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(value + (ends - starts).astype(np.uint64) * _ODD), starts, ends
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit hash, the start and the end byte of each word (run of bytes that are not ASCII white
-    space). Long texts go piece by piece, cut at white space; memory follows the piece, or the longest
-    word if that is longer."""
+def word_hashes(text: bytes, view=words_view) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash, the start and the end byte of each word (run of bytes in ``view``'s mask). Long
+    texts go piece by piece, cut at white space; memory follows the piece, or the longest word if that
+    is longer."""
     raw = np.frombuffer(text, np.uint8)
     if len(raw) <= _PIECE:
-        return _piece_hashes(raw)
+        return _piece_hashes(raw, view)
     parts, at = [], 0
     while at < len(raw):
         stop = min(at + _PIECE, len(raw))
@@ -91,7 +97,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 stop += int(gap[0])
                 break
             stop = min(stop + _PIECE, len(raw))
-        hashes, starts, ends = _piece_hashes(raw[at:stop])
+        hashes, starts, ends = _piece_hashes(raw[at:stop], view)
         parts.append((hashes, starts + at, ends + at))
         at = stop
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))

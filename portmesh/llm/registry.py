@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-OPERATORS = ("jaccard_join",)
+OPERATORS = (
+    "word_pieces",
+    "line_frequency",
+    "line_spread",
+    "licenses",
+    "mixing",
+    "chunk_dedup",
+    "templates",
+    "html_blocks",
+    "jaccard_join",
+    "token_shards",
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
