@@ -45,7 +45,7 @@ _STOP = {word for text in STOP_WORDS.values() for word in text.split()}
 # Elements whose text is never article text; elements without an end tag; elements inside a
 # line of text.
 DROPPED = set(
-    """head script style noscript template svg math nav footer aside form button select option textarea
+    """head title script style noscript template svg math nav footer aside form button select option textarea
     iframe object embed audio video canvas dialog menu datalist input label fieldset map""".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,19 +56,23 @@ INLINE = set(
 RAW = ("script", "style", "template", "noscript", "textarea", "svg", "math", "iframe")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
-#: Words in an element's class, id or role that mark it as something else than the article.
+#: Words in an element's class, id or role that mark it as something else than the article; ``header`` and
+#: its like only outside of one.
 MARKED = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|"
-    r"side-?bar|footer|masthead|comments?|comment-?list|respond|replies|disqus|cookies?\w*|consent|gdpr|"
-    r"notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|"
-    r"recommended|pagination|pager|toolbar|widget|contentinfo|complementary|navigation|skip-?link)(?![a-z])"
+    r"(?<![a-z])(?<!with-)(?<!has-)(?<!no-)(?<!without-)(?:ad(?:s|box|unit|slot|sense|vert\w*)?|banner|sponsor\w*|promo\w*|"
+    r"nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|footer|comment(?!ary)\w*|respond|repl(?:y|ies)|disqus|cookies?\w*|"
+    r"consent|gdpr|privacy|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|share|sharing|social|"
+    r"related|recommend\w*|pagination|pager|toolbar|widget|contentinfo|complementary|skip-?link)(?![a-z])"
 )
+MARKED_OUTSIDE = re.compile(r"(?<![a-z])(?:header|masthead|top-?bar|logo|search|copyright|legal|disclaimer)(?![a-z])")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # comment
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"  # declaration
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",  # a quote is missing
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -87,10 +91,11 @@ class Block:
     label: str = ""
 
 
-def _marked(attrs: str) -> bool:
+def _marked(attrs: str, inside: bool) -> bool:
     for match in _ATTR.finditer(attrs):
-        value = next(x for x in match.groups() if x is not None).lower()
-        if MARKED.search(value.replace("_", "-")):
+        value = next(x for x in match.groups() if x is not None)
+        value = _CAMEL.sub("-", value).lower().replace("_", "-")
+        if MARKED.search(value) or not inside and MARKED_OUTSIDE.search(value):
             return True
     return False
 
@@ -98,8 +103,10 @@ def _marked(attrs: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without those in dropped containers."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open elements that aren't inline, and whether they are dropped
+    # open elements that aren't inline, and how many dropped ones to take off after each
+    stack: list[tuple[str, int]] = []
     drop = links = inside = 0
+    seen = False
     pieces: list[str] = []
     linked: list[str] = []
 
@@ -132,22 +139,19 @@ def blocks(page: str) -> list[Block]:
         if token.start() > at:
             say(page[at : token.start()])
         at = token.end()
-        tag = (token["tag"] or "").lower()
+        part = "2" if token["tag2"] else ""
+        tag, end, attrs = (token["tag" + part] or "").lower(), token["end" + part], token["attrs" + part]
         if not tag:
             continue
         if tag in INLINE or tag == "br":
             if tag == "br":
                 say(" ")
-            elif tag == "a" and token["end"]:
-                links = max(0, links - 1)
             elif tag == "a":
-                links = 1
-            elif not token["end"] and not drop and _marked(token["attrs"]):
-                pass  # a mark on a word isn't a container
+                links = 0 if end else 1
             continue
         flush()
         links = 0
-        if token["end"]:
+        if end:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     close(depth)
@@ -159,13 +163,15 @@ def blocks(page: str) -> list[Block]:
             stack[-1][0] == "p" or stack[-1][0] == tag
         ):
             close(len(stack) - 1)  # its end tag was left out
-        attrs = token["attrs"]
         dropped = tag in DROPPED or (tag == "header" and not inside)
-        if not dropped and attrs and tag not in ("html", "body"):
-            dropped = tag not in MAIN and (_marked(attrs) or bool(_HIDDEN.search(attrs)))
-            dropped |= tag == "article" and _marked(attrs)
-        stack.append((tag, dropped))
-        drop += dropped
+        if not dropped and attrs and tag not in ("html", "body", "main"):
+            dropped = _marked(attrs, inside > 0) or bool(_HIDDEN.search(attrs))
+        change = int(dropped)
+        if tag in MAIN and not dropped and not seen:
+            # the page's article counts even if a class of what it stands in looked like something else
+            change, seen = -drop, True
+        stack.append((tag, change))
+        drop += change
         inside += tag in MAIN
     if at < len(page):
         say(page[at:].split("<")[0] if re.match(r".*<[a-zA-Z/!][^>]*\Z", page[at:], re.S) else page[at:])

@@ -249,6 +249,12 @@ PAGES = [
     (f"<main><p>{LONG}</p><form><p>{LONG}</p></form><section class=related><p>{LONG}</p></section>", LONG.strip()),
     ("<article><p>x < y and a <b>bold</b><i>it</i></p><!-- not <p>this --><style>p{}</style>&nbsp;z</article>", "x < y and a boldit\nz"),
     ("<article><p>cut off in a tag</p><div clas", "cut off in a tag"),
+    (
+        f"<title>Site</title><div class='site-header'><h1>Site</h1></div><div class='layout sidebar-left'><div id=sideBar><p>{LONG}</p></div>"
+        f"<article class='post has-sidebar'><header><h1>News</h1></header><p>{LONG}<div class=ad-slot>{LONG}</div><p title='x>Odd</p></article>"
+        f"<div id=userComments><article><p>{LONG}</p></article></div></div><div class='cookieNotice'>{LONG}</div>",
+        f"News\n{LONG.strip()}\nOdd",  # a quote that doesn't end is not taken as one
+    ),
 ]
 
 
