@@ -55,6 +55,7 @@ INLINE = set(
 )
 RAW = ("script", "style", "template", "noscript", "textarea", "svg", "math", "iframe")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+RUNNING = HEADINGS | {"p", "li", "blockquote", "dd", "dt", "pre", "figcaption"}
 MAIN = {"article", "main"}
 #: Words in an element's class, id or role that mark it as something else than the article; ``header`` and
 #: its like only outside of one.
@@ -88,6 +89,7 @@ class Block:
     link_chars: int
     heading: bool
     inside: bool  # inside an article element
+    paragraph: bool = False  # in an element of running text
     label: str = ""
 
 
@@ -116,7 +118,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 heading = any(tag in HEADINGS for tag, _ in stack[-2:])
-                out.append(Block(text, len(" ".join("".join(linked).split())), heading, inside > 0))
+                running = bool(stack) and stack[-1][0] in RUNNING
+                out.append(Block(text, len(" ".join("".join(linked).split())), heading, inside > 0, running))
         pieces, linked = [], []
 
     def close(depth: int):
@@ -205,8 +208,8 @@ def first_pass(block: Block) -> str:
 
 
 def second_pass(found: list[Block]) -> None:
-    """Undecided blocks inherit; a page's edges count as bad outside an article and say nothing inside. A
-    page without any decided block keeps them all."""
+    """Undecided blocks inherit from the nearest decided ones. A page's edges count as bad for loose text
+    outside an article, and say nothing to others. A page without any decided block keeps them all."""
     n = len(found)
     before: list[tuple[str | None, int]] = []
     last: tuple[str | None, int] = (None, 0)
@@ -227,16 +230,21 @@ def second_pass(found: list[Block]) -> None:
         (left, far_left), (right, far_right) = before[i], after[i]
         if labels[i] in (SHORT_BLOCK, NEAR):
             if block.inside:
-                near = right if right and (not left or far_right <= far_left) else left
-                labels[i] = BAD if near == BAD and left == right else GOOD
-            elif block.heading and right == GOOD and reach <= HEADING_REACH:
+                labels[i] = BAD if left == right == BAD else GOOD
+                reach = 0 if labels[i] == GOOD else reach + len(block.text)
+                continue
+            if block.paragraph or block.heading:
+                left, right = left or right, right or left
+            else:
+                left, right = left or BAD, right or BAD
+            if block.heading and right == GOOD and reach <= HEADING_REACH:
                 labels[i] = GOOD
             elif left == right:
-                labels[i] = left or BAD
+                labels[i] = left
             elif labels[i] == NEAR:
-                labels[i] = GOOD if GOOD in (left, right) else BAD
+                labels[i] = GOOD
             else:
-                labels[i] = left if left and far_left < far_right else right or BAD
+                labels[i] = left if far_left < far_right else right
         reach = 0 if labels[i] == GOOD else reach + len(block.text)
     for block, label in zip(found, labels, strict=True):
         block.label = label
