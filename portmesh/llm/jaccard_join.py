@@ -309,5 +309,35 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') as ws from documents),
+p as (select doc_id, unnest(ws) as x, unnest(range(len(ws))) as i from w where len(ws) >= 5),
+s as (
+  select distinct doc_id, sh from (
+    select doc_id, x || ' ' || lead(x, 1) over r || ' ' || lead(x, 2) over r || ' ' || lead(x, 3) over r
+           || ' ' || lead(x, 4) over r as sh
+    from p window r as (partition by doc_id order by i)) where sh is not null
+  union all
+  select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4),
+n as (select doc_id, count(*) as n, md5(string_agg(sh, chr(10) order by sh)) as own from s group by doc_id),
+c as (select own, count(*) as n_copies from n group by own),
+links as materialized (
+  select x, y from (
+    select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id
+    group by a.doc_id, b.doc_id)
+  join n nx on nx.doc_id = x join n ny on ny.doc_id = y where k >= 0.8 * (nx.n + ny.n - k) - 1e-9),
+reach(doc_id, r) as (
+  select doc_id, doc_id from w union select y, r from reach join links on x = doc_id),
+result as materialized (
+  select w.doc_id, min(r) as class_id, coalesce(any_value(n_copies), 1) as n_copies,
+         coalesce(any_value(m), 0) as n_links
+  from w join reach on reach.doc_id = w.doc_id left join n on n.doc_id = w.doc_id
+  left join c on c.own = n.own
+  left join (select x, count(*) as m from links group by x) l on l.x = w.doc_id
+  group by w.doc_id)
+select * from result"""
+
 QUERIES = {"op9_jaccard_join": op9_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {"op9_jaccard_join": OP9_SQL}

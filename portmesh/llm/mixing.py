@@ -36,10 +36,10 @@ MOST_SOURCES = 2000
 _BITS = 60
 
 
-def _order(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id: the pseudo-random place within the source."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def _order(doc_id: Column, text: Column) -> Column:
+    """60 bits of an MD5 of id and text: the pseudo-random place within the source."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def shares(counts: DataFrame, period: int, weights: dict[str, float] | None = None) -> DataFrame:
@@ -100,17 +100,19 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     """A row per row of ``docs``: ``doc_id``, ``src``, ``row_hash``, ``block``, ``release``, ``deadline``,
     ``slot`` and ``place`` (within the block). (``slot``, ``place``) is the order of the mix.
 
-    ``doc_id``, ``source`` and ``text`` (for ties only) are read. Null sources are the source ``''``. Rows
-    with the same or no ``doc_id`` each get a place; their order follows the text's hash. ``weights`` are
-    relative, by source; sources without one get one slot a period. An empty table gives no rows.
+    ``doc_id``, ``source`` and ``text`` (for the order within a source) are read. Null sources are the
+    source ``''``. Rows with the same or no ``doc_id`` each get a place. ``weights`` are relative, by
+    source; sources without one get one slot a period. An empty table gives no rows.
     """
     rows = docs.select(
         F.col("`doc_id`").cast("long").alias("doc_id"),
         F.coalesce(F.col("`source`").cast("string"), F.lit("")).alias("src"),
         F.xxhash64("`text`").alias("row_hash"),
-    ).withColumn("h", _order(F.col("doc_id")))
+        _order(F.col("`doc_id`"), F.col("`text`")).alias("h"),
+    )
     rows = stored(rows, "order")
-    total, sources = rows.agg(F.count("*"), F.approx_count_distinct("src", 0.01)).first()
+    counts = stored(rows.groupBy("src").agg(F.count("*").alias("n")), "counts")
+    total, sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     if sources > MOST_SOURCES:
         raise ValueError(f"{sources} sources; group them into {MOST_SOURCES} at most")
     if sources > period // 2:
@@ -126,7 +128,6 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     numbered = numbered.withColumns(
         {"block": F.floor(rank / block).cast("long"), "place": (rank % block).cast("long")}
     )
-    counts = rows.groupBy("src").agg(F.count("*").alias("n"))
     share = shares(counts, period, weights)
     slots = stored(schedule(share, period), "slots")
     # at most MOST_SOURCES rows here, and ten slots for each in the schedule
@@ -170,7 +171,8 @@ def op5_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with recursive d as (
-  select doc_id, coalesce(source, '') as src, md5(coalesce(doc_id::varchar, ''))[1:15] as h from documents),
+  select doc_id, coalesce(source, '') as src,
+         md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, '')))[1:15] as h from documents),
 c as (select src, count(*) as n, pow(count(*), 0.7::double) as w from d group by src),
 x as (select src, n, w / sum(w) over () * (1000 - count(*) over ()) as x, 1000 - count(*) over () as spare
       from c),
