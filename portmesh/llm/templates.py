@@ -79,8 +79,9 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token hashes, kinds and slot values (hash of what stood there) of a text.
 
-    A number starts with a digit; a unit is a listed word after a number; a name is a capitalised word
-    that doesn't start a sentence or line; names next to each other are one.
+    A number starts with a digit; a unit is a listed word after a number; a name is a word of a capital
+    and a small letter (or one beyond ASCII) that doesn't start a sentence or line; names next to each
+    other are one. Words in capitals, and single letters, are plain.
     """
     data = (text or "").encode("utf-8", "replace")
     hashes, starts, ends = word_hashes(data, _view)
@@ -92,7 +93,11 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = _DIGIT[first]
     kind[number] = NUMBER
     second = raw[np.minimum(starts + 1, len(raw) - 1)]
-    capital = ((first >= 65) & (first <= 90)) | _latin_capital(first, second)
+    ascii_capital, latin_capital = (first >= 65) & (first <= 90), _latin_capital(first, second)
+    follows = starts + 1 + latin_capital
+    after_first = raw[np.minimum(follows, len(raw) - 1)]
+    small = (follows < ends) & (((after_first >= 97) & (after_first <= 122)) | (after_first >= 128))
+    capital = (ascii_capital | latin_capital) & small
     stops = np.concatenate([[0], np.cumsum(_STOP[raw], dtype=np.int64)])
     opens = np.ones(len(hashes), bool)
     opens[1:] = stops[starts[1:]] > stops[ends[:-1]]

@@ -87,6 +87,7 @@ def template(text, units):
         opens = last < 0 or bool(re.search(r"[.!?:;\n]", text[last : m.start()]))
         c = m[0][0]
         capital = ("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×") and not opens
+        capital = capital and len(m[0]) > 1 and ("a" <= m[0][1] <= "z" or m[0][1] >= "\x80")
         number = "0" <= c <= "9"
         if number:
             out.append(("<number>", (word,)))

@@ -211,6 +211,7 @@ ITEM = "A farmer has 12 cows and 7 goats, and a neighbour called Tom Smith buys
     [
         (ITEM, True),
         ("so a farmer has 31 cows and 5 goats, and a neighbour called Ann Lee buys 5 goats for 64 euros in June. End", True),
+        (f"Copied in capitals: {ITEM.upper()}", True),
         # 7 goats became 5 in one place and 6 in the other
         ("a farmer has 31 cows and 5 goats, and a neighbour called Ann buys 6 goats for 64 euros in June", False),
         ("a farmer has 12 cows and some sheep, which he feeds every day", False),
