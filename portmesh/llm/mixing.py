@@ -28,8 +28,9 @@ PERIOD = 1000
 BLOCK = 16
 #: Target weight of a source when none is given: its number of documents to this power.
 TEMPERATURE = 0.7
-#: Rows of a hash range, about.
-RANGE_ROWS = 1024
+#: Rows of a hash range, about; with more than 2 ** MOST_BITS ranges they get larger instead, so that a
+#: source's table of ranges, which one task adds up, stays bounded.
+RANGE_ROWS, MOST_BITS = 1024, 17
 #: More sources than this are refused (group them first): one period's schedule is a broadcast table.
 MOST_SOURCES = 2000
 
@@ -117,7 +118,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
         raise ValueError(f"{sources} sources; group them into {MOST_SOURCES} at most")
     if sources > period // 2:
         period = 10 * sources
-    bits = max(0, (total // RANGE_ROWS).bit_length())
+    bits = min(MOST_BITS, (total // RANGE_ROWS).bit_length())
     rows = rows.withColumn("part", F.shiftright("h", _BITS - bits).cast("long"))
     sizes = stored(rows.groupBy("src", "part").agg(F.count("*").alias("m")), "sizes")
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
