@@ -86,13 +86,15 @@ def line_dedup(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
 
     ``doc_id``, ``text`` and ``source`` are read. Null texts stay null, null sources are one site; lines
     of fewer than ``LEAST_WORDS`` words are never removed. Rows given twice are two places of their
-    lines; as nothing tells them apart, both lose the lines that are removed from either. A document may
-    be left empty. An empty table gives an empty table.
+    lines; as nothing tells them apart, both keep the lines that either keeps. A document may be left
+    empty. An empty table gives an empty table.
     """
-    cut = removals(line_table(docs), least_sites).where(F.size("removed") > 0)
-    cut = stored(
-        cut.groupBy("doc_id", "row_hash").agg(F.max("removed").alias("removed")), "removed"
-    )
+    each = removals(line_table(docs), least_sites).groupBy("doc_id", "row_hash")
+    cut = each.agg(F.collect_set("removed").alias("sets")).select(
+        "doc_id", "row_hash",
+        F.aggregate("sets", F.get("sets", F.lit(0)), lambda a, x: F.array_intersect(a, x)).alias("removed"),
+    )
+    cut = stored(cut.where(F.size("removed") > 0), "removed")
     left = docs.select(
         F.struct("*").alias("row_"), F.col("`doc_id`").cast("long").alias("id_"),
         F.xxhash64("`text`", "`source`").alias("hash_"),

@@ -106,6 +106,13 @@ def test_lines_on_many_sites_stay_once(spark):
     assert all(got[50 + i].startswith("on few sites") for i in range(20))
 
 
+def test_rows_given_twice_keep_a_first_line(spark):
+    line = "Subscribe to our letter today"
+    rows = [(i // 2, f"own {'x' * (i // 2)} words\n{line}", "en", f"s{i // 2}", 0) for i in range(20)]
+    got = sorted((r.doc_id, r.text) for r in line_spread.line_dedup(odd_docs(spark, rows)).collect())
+    assert got == [(i // 2, f"own {'x' * (i // 2)} words" + (f"\n{line}" if i < 2 else "")) for i in range(20)]
+
+
 def test_near_the_limit_sites_are_counted(spark):
     n = 400
     rows = [(10_000 * k + i, f"line number {'abcdef'[k]} of all", "en", f"site{i}", 0) for k, m in enumerate((n - 1, n, n + 1, n - 80)) for i in range(m)]
