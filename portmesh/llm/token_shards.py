@@ -29,9 +29,10 @@ from portmesh.session import scratch_folder
 
 #: Id put after each document.
 END = 2
-#: Tokens after which a shard is closed, and characters of text for one range of documents.
+#: Tokens after which a shard is closed, and characters of text for one range of documents; with more than
+#: ``MOST_RANGES`` of them they get larger instead, and hold more shards.
 SHARD_TOKENS = 8_000_000
-RANGE_CHARS = 20_000_000
+RANGE_CHARS, MOST_RANGES = 20_000_000, 50_000
 #: Words whose ids a worker keeps; only speed depends on it.
 KEPT_WORDS = 600_000
 
@@ -129,6 +130,18 @@ def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
+def _put(fs: pafs.FileSystem, name: str, attempt: str, data: bytes) -> None:
+    """A file that is there whole or not at all; another attempt's file has the same content."""
+    with fs.open_output_stream(f"{name}.{attempt}") as out:
+        out.write(data)
+    try:
+        fs.move(f"{name}.{attempt}", name)
+    except OSError:  # some file systems don't replace a file
+        if fs.get_file_info(name).type != pafs.FileType.File:
+            raise
+        fs.delete_file(f"{name}.{attempt}")
+
+
 _FILES = "part long, seq long, file string, docs long, tokens long"
 
 
@@ -147,10 +160,7 @@ def _writer(folder: str, tokenizer: str, end: int, shard_tokens: int):
             ids = np.frombuffer(b"".join(parts), "<u4")
             nulls = np.array([d is None for d in docs], bool)
             data = write(ids, np.array([d or 0 for d in docs], np.int64), nulls, np.array(counts, np.int64))
-            kept_name = f"{root}/{name}"
-            with fs.open_output_stream(f"{kept_name}.{task.taskAttemptId()}") as out:
-                out.write(data)
-            fs.move(f"{kept_name}.{task.taskAttemptId()}", kept_name)
+            _put(fs, f"{root}/{name}", f"{task.taskAttemptId()}", data)
             rows.append((part, seq, name, len(docs), len(ids)))
             seq, docs, parts, counts, size = seq + 1, [], [], [], 0
 
@@ -191,7 +201,7 @@ def write_shards(
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     fs, root = _place(folder)
     fs.create_dir(root, recursive=True)
-    ranged = rows.repartitionByRange(chars // range_chars + 1, *keys).sortWithinPartitions(*keys)
+    ranged = rows.repartitionByRange(min(MOST_RANGES, chars // range_chars + 1), *keys).sortWithinPartitions(*keys)
     files = stored(
         ranged.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end, shard_tokens), _FILES), "files"
     )
