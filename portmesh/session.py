@@ -17,6 +17,8 @@ def build_session(app: str = "portmesh", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # long texts: Arrow batches are bounded by bytes, not only by rows
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,
