@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of tokens in which numbers, names and units are typed placeholders; each keeps the
-value that stood there as a slot. Windows of tokens are hashed and joined with those of the benchmark.
+value that stood there as a slot. A text with names is taken in two forms, the other one with names as
+plain words. Windows of tokens are hashed and joined with those of the benchmark.
 Hits of a document and an item that lie on one diagonal (document place minus item place) are one
 alignment. An alignment that is long enough counts if its slots are consistent: equal item values stand
 for equal document values, and different ones for different ones. So a question whose numbers and names
@@ -76,8 +77,12 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The token hashes, kinds and slot values (hash of what stood there) of a text.
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def canonical(text: str | None) -> list[Tokens]:
+    """The token hashes, kinds and slot values (hash of what stood there) of a text: with names as slots
+    and, if there are any, also with names as plain words (for copies in other capitals).
 
     A number starts with a digit; a unit is a listed word after a number; a name is a word of a capital
     and a small letter (or one beyond ASCII) that doesn't start a sentence or line; names next to each
@@ -86,7 +91,7 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = (text or "").encode("utf-8", "replace")
     hashes, starts, ends = word_hashes(data, _view)
     if not len(hashes):
-        return hashes, np.zeros(0, np.int8), hashes
+        return [(hashes, np.zeros(0, np.int8), hashes)]
     raw = np.frombuffer(data, np.uint8)
     kind = np.zeros(len(hashes), np.int8)
     first = raw[starts]
@@ -105,31 +110,33 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     after = np.zeros(len(hashes), bool)
     after[1:] = number[:-1]
     kind[after & ~number & _among(hashes, _UNITS)] = UNIT
+    plain = np.where(kind == NAME, PLAIN, kind)
     keep = np.ones(len(hashes), bool)
     keep[1:] = ~((kind[1:] == NAME) & (kind[:-1] == NAME))
     at = np.flatnonzero(keep)
-    values = np.add.reduceat(hashes, at)
-    kind = kind[at]
-    return np.where(kind == PLAIN, hashes[at], _SLOT[kind]), kind, values
+    values, typed = np.add.reduceat(hashes, at), kind[at]
+    out = [(np.where(typed == PLAIN, hashes[at], _SLOT[typed]), typed, values)]
+    if (kind == NAME).any():
+        out.append((np.where(plain == PLAIN, hashes, _SLOT[plain]), plain, hashes))
+    return out
 
 
-def _windows(text: str | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place and hash of the windows with enough plain words, and the kinds and values of all tokens."""
-    tokens, kind, values = canonical(text)
+def _windows(tokens: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the windows with enough plain words."""
     if len(tokens) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), kind, values
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = windows(tokens, width, width)
     plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
     enough = plain[width:] - plain[:-width] >= min(LEAST_PLAIN, width - 1)
     at = np.flatnonzero(enough)
-    return at, hashes[at], kind, values
+    return at, hashes[at]
 
 
 _ROWS = pa.schema(
-    [("key", pa.int64()), ("t", pa.int64()), ("width", pa.int32()), ("total", pa.int32()),
+    [("key", pa.int64()), ("t", pa.int64()), ("form", pa.int32()), ("width", pa.int32()), ("total", pa.int32()),
      ("at", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.int64()))]
 )
-_DDL = "key long, t long, width int, total int, at long, h long, slots array<long>"
+_DDL = "key long, t long, form int, width int, total int, at long, h long, slots array<long>"
 
 
 def _emit(widths, known: np.ndarray | None):
@@ -145,23 +152,20 @@ def _emit(widths, known: np.ndarray | None):
             out: list[list] = [[] for _ in _ROWS]
             keys, ts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for key, t, cell in zip(keys, ts, batch.column(2), strict=True):
-                text = cell.as_py()
-                for width in widths or [WIDTH]:
-                    at, hashes, kind, values = _windows(text, width)
-                    if widths is None and len(kind) < WIDTH:
-                        width = len(kind)
-                        at, hashes, kind, values = _windows(text, width) if width > 3 else (at, hashes, kind, values)
-                    total = len(at)
-                    if bits is not None:
-                        near = bits[hashes >> np.uint64(42)]
-                        at, hashes = at[near], hashes[near]
-                        sure = _among(hashes, known)
-                        at, hashes = at[sure], hashes[sure]
-                    for a, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                        part = slice(a, a + width)
-                        slots = values[part][kind[part] != PLAIN].view(np.int64).tolist()
-                        for column, value in zip(out, (key, t, width, total, a, h, slots), strict=True):
-                            column.append(value)
+                for form, (tokens, kind, values) in enumerate(canonical(cell.as_py())):
+                    for width in widths or ([min(WIDTH, len(tokens))] if len(tokens) > 3 else []):
+                        at, hashes = _windows(tokens, kind, width)
+                        total = len(at)
+                        if bits is not None:
+                            near = bits[hashes >> np.uint64(42)]
+                            at, hashes = at[near], hashes[near]
+                            sure = _among(hashes, known)
+                            at, hashes = at[sure], hashes[sure]
+                        for a, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+                            part = slice(a, a + width)
+                            slots = values[part][kind[part] != PLAIN].view(np.int64).tolist()
+                            for column, value in zip(out, (key, t, form, width, total, a, h, slots), strict=True):
+                                column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(out, _ROWS, strict=True)], schema=_ROWS
             )
@@ -170,8 +174,8 @@ def _emit(widths, known: np.ndarray | None):
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """A stored row per window of each benchmark item: ``item_id``, ``width``, ``total`` windows of the
-    item, ``at``, ``h``, ``slots``."""
+    """A stored row per window of each benchmark item: ``item_id``, ``form`` (0 with names as slots, 1
+    with names as words), ``width``, ``total`` windows of the item, ``at``, ``h``, ``slots``."""
     items = benchmark.select(F.col("`item_id`").cast("long"), F.lit(0).cast("long"), F.col("`text`"))
     rows = items.mapInArrow(_emit(None, None), _DDL).withColumnRenamed("key", "item_id").drop("t").distinct()
     return stored(rows, "items")
@@ -196,13 +200,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = BR
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text"
     )
     hits = text.mapInArrow(_emit(widths or [WIDTH], known), _DDL).select(
-        F.col("key").alias("doc_id"), "t", F.col("width").alias("w"), F.col("at").alias("doc_at"), "h",
+        F.col("key").alias("doc_id"), "t", F.col("form").alias("doc_form"), F.col("width").alias("w"), F.col("at").alias("doc_at"), "h",
         F.col("slots").alias("doc_slots"),
     )
     met = hits.join(items.withColumnRenamed("h", "item_h"), (F.col("h") == F.col("item_h")) & (F.col("w") == F.col("width")))
     pair = F.arrays_zip(F.col("slots").alias("i"), F.col("doc_slots").alias("d"))
-    lines = met.groupBy("doc_id", "t", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).agg(
-        F.size(F.collect_set("at")).alias("n_windows"), F.max("total").alias("n_item_windows"),
+    diagonal = (F.col("doc_at") - F.col("at")).alias("diagonal")
+    lines = met.groupBy("doc_id", "t", "doc_form", "item_id", "form", "total", diagonal).agg(
+        F.size(F.collect_set("at")).alias("n_windows"), F.col("total").alias("n_item_windows"),
         F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"),
     )
     # a diagonal has at most the item's windows

@@ -79,15 +79,15 @@ def _fold(word):
     return "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in word)
 
 
-def template(text, units):
-    """(token, value) pairs; the token of a slot is its kind."""
+def template(text, units, names=True):
+    """(token, value) pairs; the token of a slot is its kind. Names are slots or plain words."""
     out, last, was_number = [], -1, False
     for m in _TOKEN.finditer(text or ""):
         word = _fold(m[0])
         opens = last < 0 or bool(re.search(r"[.!?:;\n]", text[last : m.start()]))
         c = m[0][0]
         capital = ("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×") and not opens
-        capital = capital and len(m[0]) > 1 and ("a" <= m[0][1] <= "z" or m[0][1] >= "\x80")
+        capital = capital and names and len(m[0]) > 1 and ("a" <= m[0][1] <= "z" or m[0][1] >= "\x80")
         number = "0" <= c <= "9"
         if number:
             out.append(("<number>", (word,)))
@@ -114,26 +114,29 @@ def template_hits(docs, items, units):
     """(doc_id, text) and (item_id, text) rows to {(doc_id, text, item): (windows, item windows, slots)}."""
     known, totals = defaultdict(list), {}
     for item, text in items:
-        tokens = template(text, units)
-        width = min(8, len(tokens))
-        if width < 4:
-            continue
-        own = list(template_windows(tokens, width))
-        totals[item, text] = len(own)
-        for at, key, values in own:
-            known[key].append((item, text, at, values))
+        for form in (True, False):
+            tokens = template(text, units, form)
+            width = min(8, len(tokens))
+            if width < 4:
+                continue
+            own = list(template_windows(tokens, width))
+            totals[item, text, form] = len(own)
+            for at, key, values in own:
+                known[key].append((item, text, form, at, values))
     widths = {len(k) for k in known}
     out = {}
     for doc, text in docs:
         lines = defaultdict(lambda: (set(), set()))
-        for width in widths:
-            for at, key, values in template_windows(template(text, units), width):
-                for item, item_text, item_at, item_values in known.get(key, ()):
-                    places, pairs = lines[item, item_text, at - item_at]
-                    places.add(item_at)
-                    pairs.update(zip(item_values, values, strict=True))
-        for (item, item_text, _), (places, pairs) in lines.items():
-            total = totals[item, item_text]
+        for doc_form in (True, False):
+            tokens = template(text, units, doc_form)
+            for width in widths:
+                for at, key, values in template_windows(tokens, width):
+                    for item, item_text, form, item_at, item_values in known.get(key, ()):
+                        places, pairs = lines[item, item_text, form, doc_form, at - item_at]
+                        places.add(item_at)
+                        pairs.update(zip(item_values, values, strict=True))
+        for (item, item_text, form, _, _), (places, pairs) in lines.items():
+            total = totals[item, item_text, form]
             same = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
             if same and len(places) >= min(6, -(-total // 2)):
                 key = (doc, text, item)
