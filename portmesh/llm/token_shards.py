@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,11 @@ END = 2
 #: ``MOST_RANGES`` of them they get larger instead, and hold more shards.
 SHARD_TOKENS = 8_000_000
 RANGE_CHARS, MOST_RANGES = 20_000_000, 50_000
-#: Words whose ids a worker keeps; only speed depends on it.
-KEPT_WORDS = 600_000
+#: Pieces whose ids a worker keeps; only speed depends on it.
+KEPT_PIECES = 700_000
 
-# The steps of a tokenizer file whose texts can be encoded word by word.
-BY_WORD = {
+# The steps of a tokenizer file whose texts can be encoded piece by piece.
+BY_PIECE = {
     "normalizer": {
         "type": "Sequence",
         "normalizers": [
@@ -59,12 +60,25 @@ BY_WORD = {
         ],
     },
 }
-_CUT = regex.compile(BY_WORD["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 #: Texts of these characters only: composition changes nothing, small letters follow from each character
-#: alone, and white space is the same for every library.
+#: alone, and letters, digits and white space are the same for every library.
 _SIMPLE = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa0-\u02ff]*")
 
 
+def _simple_cut() -> re.Pattern:
+    """The file's cuts for simple characters, with letters first as no other cut starts with one."""
+    of = {"L": "", "N": ""}
+    for c in map(chr, range(0x300)):
+        kind = unicodedata.category(c)[0]
+        if kind in of:
+            of[kind] += re.escape(c)
+    letter, digit = of["L"], of["N"]
+    return re.compile(rf"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{digit}]|[^\s{letter}{digit}]+")
+
+
+_CUT = _simple_cut()
+
+
 def _byte_symbols() -> list[str]:
     """The letter that stands for each byte: itself if printable in Latin-1, else the next one from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,12 +87,11 @@ def _byte_symbols() -> list[str]:
 
 
 class Encoder:
-    """Encodes texts with a ``tokenizers`` file; remembers the ids of words.
+    """Encodes texts with a ``tokenizers`` file; remembers the ids of the pieces between its cuts.
 
-    Under a file whose steps are ``BY_WORD``, nothing looks beyond white space, so the ids of a text are
-    those of its words, and only words that are not remembered go to the file's model. A text with other
-    than simple characters, or that might hold a special token, and every text under another file, is
-    encoded whole.
+    Under a file whose steps are ``BY_PIECE``, a text is cut into pieces that the file's model encodes one
+    by one, so only pieces that are not remembered go to the model. A text with other than simple
+    characters, or that might hold a special token, and every text under another file, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -88,32 +101,28 @@ class Encoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         steps = json.loads(self.whole.to_str())
-        self.model = self.whole.model if all(steps[k] == v for k, v in BY_WORD.items()) else None
-        self.symbols = _byte_symbols()
-        self.kept: dict[str, bytes] = {}
+        self.model = self.whole.model if all(steps[k] == v for k, v in BY_PIECE.items()) else None
+        self.kept = _Pieces(self.model)
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if self.model is None or "<|" in text or not _SIMPLE.fullmatch(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            for w in set(words):
-                if w not in kept:
-                    kept[w] = b"".join([self._piece(x) for x in _CUT.findall(w.lower())])
-        return b"".join([kept[w] for w in words])
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.kept.get(piece)
-        if found is None:
-            spelt = "".join([self.symbols[b] for b in piece.encode()])
-            found = np.array([x.id for x in self.model.tokenize(spelt)], "<u4").tobytes()
-            self.kept[piece] = found
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.kept) > KEPT_PIECES:
+            self.kept.clear()
+        return b"".join(map(self.kept.__getitem__, _CUT.findall(text.lower())))
+
+
+class _Pieces(dict):
+    """The ids of pieces; those that are missing are worked out."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.symbols = model, _byte_symbols()
+
+    def __missing__(self, piece: str) -> bytes:
+        spelt = "".join([self.symbols[b] for b in piece.encode()])
+        found = self[piece] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
         return found
 
 
