@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round is two aggregations and two joins on the vertices, until the links are stars around the least
-vertices. Nothing but that verdict reaches the driver. A vertex
-with very many neighbours is combined before each shuffle on the aggregating side, and its rows on the
-join side can be split by adaptive execution.
+vertices. Nothing but that verdict reaches the driver. The neighbours of a vertex are combined before
+they are shuffled for the aggregations; in the joins, its links (two numbers each) meet in one task, sorted
+and streamed, never held together.
 """
 
 from __future__ import annotations
