@@ -204,29 +204,22 @@ def _links(threshold: float, tolerance: float, width: int):
 
 
 def linked_classes(
-    docs: DataFrame, sign: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH
+    docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH
 ) -> DataFrame:
     """Stored rows ``c1``, ``c2``, ``root``, ``links`` (documents), ``classes`` of each class and task that
-    verified a link."""
-    classes = (
-        sign.where("c1 is not null")
-        .groupBy("c1", "c2")
-        .agg(
-            F.count("*").alias("copies"), F.any_value("t").alias("t"), F.any_value("size").alias("size"),
-            F.any_value("bands").alias("bands"),
-        )
-    )
-    classes = stored(classes, "classes")
+    verified a link. Of a class's texts only that of its first row is read."""
     groups = candidate_groups(classes)
     nodes = classes.drop("bands").join(groups, F.col("c1") == F.col("node")).drop("node")
     blocks = nodes.groupBy("root").agg(F.ceil(F.sum(F.col("size") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
     nodes = nodes.join(blocks, "root").withColumn(
         "block", F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int")
     )
-    texts = docs.select(F.xxhash64("text").alias("t"), "text")
-    wanted = nodes.select("t").distinct()
-    texts = texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
-    tasks = nodes.join(texts, "t").select(
+    nodes = nodes.withColumns({"t": F.col("first.t"), "first_id": F.col("first.doc_id")})
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t_"), "text")
+    wanted = nodes.select("first_id", "t").distinct()
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("t_") == F.col("t"))
+    texts = texts.join(wanted, same, "left_semi").groupBy("t_").agg(F.any_value("text").alias("text"))
+    tasks = nodes.join(texts, F.col("t") == F.col("t_")).select(
         "root", "c1", "c2", "copies", "block", "text",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).withColumns(
@@ -238,40 +231,59 @@ def linked_classes(
     return stored(found, "linked")
 
 
-def near_duplicates(
+def classes_of(
     docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH
-) -> DataFrame:
-    """A row per row of ``docs`` (columns ``doc_id`` and ``text`` are read, others ignored):
-
-    ``doc_id``, ``t`` (hash of the text), ``group`` (null for a text without words), ``n_copies`` (rows
-    with the same shingle set, itself included) and ``n_links`` (other rows at or above the threshold,
-    copies included).
-
-    Words are lower-cased runs of non-blank characters. Null and empty texts have no shingles, join
-    nothing and have 0 links. Repeated rows are copies of each other. An empty table gives no rows.
-    """
-    docs = columns_of(docs, "doc_id", "text")
+) -> tuple[DataFrame, DataFrame]:
+    """The ``signed`` rows, and a stored row per class: ``c1``, ``c2``, ``first`` (of its rows, by
+    ``doc_id``, nulls last, then ``t``), ``n_copies``, ``n_links``, ``group`` and ``class_id`` (least
+    ``doc_id`` of the group)."""
     sign = signed(docs, width)
-    found = linked_classes(docs, sign, threshold, tolerance, width)
-    links = found.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("c1").alias("a"), F.col("root").alias("b")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
     classes = (
         sign.where("c1 is not null")
         .groupBy("c1", "c2")
-        .agg(F.count("*").alias("n_copies"))
+        .agg(
+            F.count("*").alias("copies"), first, F.any_value("size").alias("size"),
+            F.any_value("bands").alias("bands"),
+        )
+    )
+    classes = stored(classes, "classes")
+    found = linked_classes(docs, classes, threshold, tolerance, width)
+    links = found.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("c1").alias("a"), F.col("root").alias("b")))
+    grouped = (
+        classes.drop("bands", "size")
         .join(links, ["c1", "c2"], "left")
         .join(groups, F.col("c1") == F.col("node"), "left")
         .select(
-            "c1", "c2", "n_copies", F.coalesce("root", "c1").alias("group"),
-            (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+            "c1", "c2", "first", F.col("copies").alias("n_copies"), F.coalesce("root", "c1").alias("group"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
+    least = grouped.groupBy("group").agg(F.min("first.doc_id").alias("class_id"))
+    return sign, stored(grouped.join(least, "group"), "grouped")
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH
+) -> DataFrame:
+    """A row per row of ``docs`` (columns ``doc_id`` and ``text`` are read, others ignored):
+
+    ``doc_id``, ``t`` (hash of the text), ``group`` (null for a text without words), ``class_id`` (least
+    ``doc_id`` of the group; the row's own without one), ``n_copies`` (rows with the same shingle set,
+    itself included) and ``n_links`` (other rows at or above the threshold, copies included).
+
+    Words are lower-cased runs of non-blank characters. Null and empty texts have no shingles, join
+    nothing and have 0 links. Repeated rows are copies of each other. An empty table gives no rows.
+    """
+    sign, classes = classes_of(columns_of(docs, "doc_id", "text"), threshold, tolerance, width)
+    # both sides are tables: a class with a large part of all rows can be split in the join
     return (
         sign.select("doc_id", "t", "c1", "c2")
-        .join(classes, ["c1", "c2"], "left")
+        .join(classes.drop("first"), ["c1", "c2"], "left")
         .select(
-            "doc_id", "t", "group", F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            "doc_id", "t", "group", F.coalesce("class_id", "doc_id").alias("class_id"),
+            F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
     )
 
@@ -279,22 +291,16 @@ def near_duplicates(
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each group: the one of the least ``doc_id`` (nulls last), then
     text hash, stays. Texts without words all stay."""
-    near = stored(near_duplicates(docs).select("doc_id", "t", "group"), "near")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("t"))
-    grouped = near.where("`group` is not null")
-    keep = grouped.groupBy("group").agg(F.min(order).alias("k"), F.count("*").alias("m")).select(
-        F.col("k.doc_id").alias("kept_id"), F.col("k.t").alias("kept_t"), "m"
-    )
+    sign, classes = classes_of(columns_of(docs, "doc_id", "text"))
+    keep = stored(classes.groupBy("group").agg(F.min("first").alias("k")).select("k.doc_id", "k.t"), "keep")
     rest = docs.select(F.struct("*").alias("row_"), F.xxhash64(F.col("`text`")).alias("t_")).withColumn(
         "id_", F.col("row_.doc_id").cast("long")
     )
-    blank = near.where("`group` is null").select("t").distinct()
-    kept = rest.join(keep, (F.col("t_") == F.col("kept_t")) & F.col("id_").eqNullSafe(F.col("kept_id")))
-    repeated = (
-        grouped.groupBy("doc_id", "t").count().where("count > 1").limit(1).count() > 0
-    )  # rows given twice: one of them stays
-    if repeated:
+    kept = rest.join(keep, (F.col("t_") == F.col("t")) & F.col("id_").eqNullSafe(F.col("doc_id")))
+    repeated = sign.where("c1 is not null").groupBy("doc_id", "t").count().where("count > 1")
+    if not repeated.isEmpty():  # rows given twice: one of them stays
         kept = kept.dropDuplicates(["id_", "t_"])
+    blank = sign.where("c1 is null").select("t").distinct()
     empty = rest.join(blank, F.col("t_") == F.col("t"), "left_semi")
     return kept.select("row_.*").unionByName(empty.select("row_.*"))
 
@@ -302,11 +308,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: ``class_id`` (least ``doc_id`` of its group of linked documents; its own if
     it has none), ``n_copies`` and ``n_links``."""
-    near = stored(near_duplicates(table(spark, sf_dir, "documents")), "near")
-    least = near.where("`group` is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    return near.join(least, "group", "left").select(
-        "doc_id", F.coalesce("least", "doc_id").alias("class_id"), "n_copies", "n_links"
-    )
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links")
 
 
 OP9_SQL = r"""
