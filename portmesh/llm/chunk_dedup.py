@@ -119,6 +119,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     chunks = stored(chunks, "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "no")
     first = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # a table of its own: the rows of a very common chunk can then be split in the join
+    first = stored(first.drop("n"), "first")
     later = chunks.join(first, ["d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
     # chunks one after another: their number less their rank is the same
     order = Window.partitionBy("doc_id", "t").orderBy("no")
