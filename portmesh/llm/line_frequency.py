@@ -4,10 +4,10 @@ Lines are normalised (lower case, runs of digits as 0, runs of white space as on
 For each host (``source``) the distinct documents that hold a line are counted; a line above the limits
 is removed from that host's documents, and a document that keeps too little is rejected.
 
-Distinct documents are counted by what else they hold: a document counts under the least and the largest
-hash of its other lines. Copies of one document, and most of its near copies, thus count as one, and a
-document that was copied often isn't mistaken for boilerplate; a banner amid different texts counts once
-for each text.
+Distinct documents are told apart by a digest of their distinct line hashes, in the count of a line as in
+that of the host. Copies of one document (in any order of lines) thus count as one, and a document that was
+copied often isn't mistaken for boilerplate; a banner amid different texts counts once for each text. Copies
+with a line of their own are different documents.
 
 One pass over the texts writes a row per document (its figures and line hashes); the rest works on that.
 """
@@ -98,29 +98,15 @@ def profile(docs: DataFrame) -> DataFrame:
     return stored(figures.withColumn("row_id", F.monotonically_increasing_id()), "profile")
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """A row per line of each document, with the least (``lo``) and largest (``hi``) hash of the others."""
-    ordered = rows.withColumn("hs", F.sort_array(F.array_distinct("lines.h")))
-    ends = ordered.select(
-        "row_id", "host", F.explode("lines").alias("line"),
-        F.get("hs", F.lit(0)).alias("lo1"), F.get("hs", F.lit(1)).alias("lo2"),
-        F.get("hs", F.size("hs") - 1).alias("hi1"), F.get("hs", F.size("hs") - 2).alias("hi2"),
-    )
-    h = F.col("line.h")
-    return ends.select(
-        "row_id", "host", h.alias("h"), F.col("line.n").alias("n"),
-        F.when(h == F.col("lo1"), F.col("lo2")).otherwise(F.col("lo1")).alias("lo"),
-        F.when(h == F.col("hi1"), F.col("hi2")).otherwise(F.col("hi1")).alias("hi"),
-    )
-
-
 def frequent_lines(
     rows: DataFrame, least_docs: int = LEAST_DOCS, least_percent: int = LEAST_PERCENT
 ) -> DataFrame:
     """``host``, ``h``, ``n_docs`` of the lines above both limits, from a ``profile``."""
-    held = _lines(rows).select("host", "h", "lo", "hi").distinct()
+    sets = rows.select("host", F.sort_array(F.array_distinct("lines.h")).alias("hs"))
+    sets = sets.withColumn("digest", F.xxhash64("hs"))
+    held = sets.select("host", F.explode("hs").alias("h"), "digest").distinct()
     counted = held.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs)
-    texts = rows.select("host", "row_hash").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
+    texts = sets.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("n_texts"))
     return (
         counted.join(texts, "host")
         .where(F.col("n_docs") * 100 >= F.col("n_texts") * least_percent)
@@ -133,8 +119,8 @@ def verdicts(rows: DataFrame, **limits: int) -> DataFrame:
     that remain), ``base_failed``, ``depleted`` and ``kept``."""
     frequent = frequent_lines(rows, **limits)
     cut = (
-        _lines(rows)
-        .select("row_id", "host", "h", "n")
+        rows.select("row_id", "host", F.explode("lines").alias("line"))
+        .select("row_id", "host", "line.h", "line.n")
         .join(frequent.select("host", "h"), ["host", "h"])
         .groupBy("row_id")
         .agg(F.collect_set("h").alias("removed"), F.sum("n").alias("gone"))

@@ -94,6 +94,16 @@ def test_boilerplate_goes_and_copied_documents_stay(spark):
     assert all(kept[i].text == body[i] and (i % 2 == 0 or kept[i].n_chars == len(body[i])) for i in range(30))
 
 
+@pytest.mark.parametrize(("n_docs", "n_lines"), [(10, 6), (1000, 60)])
+def test_a_template_on_all_of_a_host_goes(spark, n_docs, n_lines):
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    template = "\n".join(f"line {letters(i)} of the template of this host" for i in range(n_lines))
+    body = [f"document {letters(i)} has a line of its own with more than ten words in it, long enough to stay" for i in range(n_docs)]
+    rows = [(i, f"{template}\n{b}", "en", "host", 0) for i, b in enumerate(body)]
+    lines = line_frequency.frequent_lines(line_frequency.profile(odd_docs(spark, rows, clash=False)))
+    assert [r.n_docs for r in lines.collect()] == [n_docs] * n_lines
+
+
 def test_lines_on_many_sites_stay_once(spark):
     line = "Subscribe to our letter today"
     rows = [(i, f"own words of {i} here\n{line}\n{line}", "en", f"s{i}", 0) for i in range(20)]
