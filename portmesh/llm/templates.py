@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of tokens in which numbers, names and units are typed placeholders; each keeps the
-value that stood there as a slot. A text with names is taken in two forms, the other one with names as
-plain words. Windows of tokens are hashed and joined with those of the benchmark.
+value that stood there as a slot. A text with names is taken in further forms: with names as plain words,
+and with names that open a sentence as slots too. An item in which no window has enough plain words, in any
+form, is taken as it stands, its numbers being words, and is found where it was copied with its values.
+Windows of tokens are hashed and joined with those of the benchmark.
 Hits of a document and an item that lie on one diagonal (document place minus item place) are one
 alignment. An alignment that is long enough counts if its slots are consistent: equal item values stand
 for equal document values, and different ones for different ones. So a question whose numbers and names
@@ -39,7 +41,23 @@ gallons second seconds sec minute minutes min hour hours hr day days week weeks
 dollar dollars cent cents euro euros percent degree degrees celsius fahrenheit mph kmh
 """.split()
 
+# Words that open a sentence with a capital and are no names.
+COMMON = """
+a about after all also although among an and another any are as assume at based because before below between
+both but by calculate can choose compare complete compute consider could define describe determine did do does
+due during each estimate evaluate every everyone everything explain express few find finally first following
+for from given give had half has have he hence her here his how however i identify if in initially instead into
+is it its last later least let like list many more most much my name neither next no none not note nothing now
+of often on once one only or other otherwise our out over people per please prove read second select several
+she should show similarly simplify since so solve some sometimes state still such suppose ten than that the
+their them then there therefore these they third this those three through thus to today together two under
+until up use using was we were what when where whether which while who whose why will with within without would
+write yes yet you your
+""".split()
+
 PLAIN, NUMBER, NAME, UNIT = range(4)
+#: Forms of a text: names as slots, names as words, names that open sentences as slots too, all as it stands.
+SLOTS, WORDS, OPENERS, EXACT = range(4)
 _SLOT = mix(np.array([0, 0xA11CE, 0xB0B, 0xCAFE], np.uint64))
 
 _ASCII_WORD = np.zeros(256, bool)
@@ -68,6 +86,7 @@ def _latin_capital(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 _UNITS = np.sort(np.concatenate([word_hashes(u.encode(), _view)[0] for u in UNITS]))
+_COMMON = np.sort(np.concatenate([word_hashes(w.encode(), _view)[0] for w in COMMON]))
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -80,18 +99,29 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def canonical(text: str | None) -> list[Tokens]:
-    """The token hashes, kinds and slot values (hash of what stood there) of a text: with names as slots
-    and, if there are any, also with names as plain words (for copies in other capitals).
+def _typed(hashes: np.ndarray, kind: np.ndarray) -> Tokens:
+    """Tokens, kinds and values of words of a ``kind``; names next to each other are one."""
+    keep = np.ones(len(hashes), bool)
+    keep[1:] = ~((kind[1:] == NAME) & (kind[:-1] == NAME))
+    at = np.flatnonzero(keep)
+    values, typed = np.add.reduceat(hashes, at), kind[at]
+    return np.where(typed == PLAIN, hashes[at], _SLOT[typed]), typed, values
+
+
+def canonical(text: str | None) -> dict[int, Tokens]:
+    """The token hashes, kinds and slot values (hash of what stood there) of a text by form: ``SLOTS`` with
+    names as slots; if there are any, ``WORDS`` with names as plain words (for copies in other capitals); if
+    there are names that open a sentence or line, ``OPENERS`` with them as slots too; ``EXACT`` with every
+    word, number and name as a plain word.
 
     A number starts with a digit; a unit is a listed word after a number; a name is a word of a capital
-    and a small letter (or one beyond ASCII) that doesn't start a sentence or line; names next to each
-    other are one. Words in capitals, and single letters, are plain.
+    and a small letter (or one beyond ASCII) that doesn't start a sentence or line, or in ``OPENERS`` also
+    one that does and isn't among the ``COMMON`` words. Words in capitals, and single letters, are plain.
     """
     data = (text or "").encode("utf-8", "replace")
     hashes, starts, ends = word_hashes(data, _view)
     if not len(hashes):
-        return [(hashes, np.zeros(0, np.int8), hashes)]
+        return {SLOTS: (hashes, np.zeros(0, np.int8), hashes)}
     raw = np.frombuffer(data, np.uint8)
     kind = np.zeros(len(hashes), np.int8)
     first = raw[starts]
@@ -110,14 +140,14 @@ def canonical(text: str | None) -> list[Tokens]:
     after = np.zeros(len(hashes), bool)
     after[1:] = number[:-1]
     kind[after & ~number & _among(hashes, _UNITS)] = UNIT
-    plain = np.where(kind == NAME, PLAIN, kind)
-    keep = np.ones(len(hashes), bool)
-    keep[1:] = ~((kind[1:] == NAME) & (kind[:-1] == NAME))
-    at = np.flatnonzero(keep)
-    values, typed = np.add.reduceat(hashes, at), kind[at]
-    out = [(np.where(typed == PLAIN, hashes[at], _SLOT[typed]), typed, values)]
+    out = {SLOTS: _typed(hashes, kind)}
     if (kind == NAME).any():
-        out.append((np.where(plain == PLAIN, hashes, _SLOT[plain]), plain, hashes))
+        out[WORDS] = _typed(hashes, np.where(kind == NAME, PLAIN, kind))
+    opener = capital & opens & (kind == PLAIN)
+    opener[opener] = ~_among(hashes[opener], _COMMON)
+    if opener.any():
+        out[OPENERS] = _typed(hashes, np.where(opener, NAME, kind).astype(np.int8))
+    out[EXACT] = hashes, np.zeros(len(hashes), np.int8), hashes
     return out
 
 
@@ -139,9 +169,10 @@ _ROWS = pa.schema(
 _DDL = "key long, t long, form int, width int, total int, at long, h long, slots array<long>"
 
 
-def _emit(widths, known: np.ndarray | None):
-    """Rows of the windows: of each text's own width (``widths`` None), or of all ``widths`` and, unless
-    ``known`` is None, only of hashes in it."""
+def _emit(widths: list[int] | None, known: np.ndarray | None, exact: list[int] = ()):
+    """Rows of the windows: of each text's own width, and of the form ``EXACT`` only if the others have none
+    (``widths`` None); or of all ``widths``, ``exact`` for the form ``EXACT``, and, unless ``known`` is None,
+    only of hashes in it."""
     bits = None
     if known is not None:
         bits = np.zeros(1 << 22, bool)
@@ -152,10 +183,16 @@ def _emit(widths, known: np.ndarray | None):
             out: list[list] = [[] for _ in _ROWS]
             keys, ts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for key, t, cell in zip(keys, ts, batch.column(2), strict=True):
-                for form, (tokens, kind, values) in enumerate(canonical(cell.as_py())):
-                    for width in widths or ([min(WIDTH, len(tokens))] if len(tokens) > 3 else []):
+                some = False
+                for form, (tokens, kind, values) in canonical(cell.as_py()).items():
+                    if widths is None:
+                        each = [min(WIDTH, len(tokens))] if len(tokens) > 3 and not (form == EXACT and some) else []
+                    else:
+                        each = exact if form == EXACT else widths
+                    for width in each:
                         at, hashes = _windows(tokens, kind, width)
                         total = len(at)
+                        some |= total > 0
                         if bits is not None:
                             near = bits[hashes >> np.uint64(42)]
                             at, hashes = at[near], hashes[near]
@@ -174,8 +211,8 @@ def _emit(widths, known: np.ndarray | None):
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """A stored row per window of each benchmark item: ``item_id``, ``form`` (0 with names as slots, 1
-    with names as words), ``width``, ``total`` windows of the item, ``at``, ``h``, ``slots``."""
+    """A stored row per window of each benchmark item: ``item_id``, ``form`` (see ``canonical``), ``width``,
+    ``total`` windows of the item in that form, ``at``, ``h``, ``slots``."""
     items = benchmark.select(F.col("`item_id`").cast("long"), F.lit(0).cast("long"), F.col("`text`"))
     rows = items.mapInArrow(_emit(None, None), _DDL).withColumnRenamed("key", "item_id").drop("t").distinct()
     return stored(rows, "items")
@@ -188,10 +225,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = BR
 
     ``doc_id`` and ``text`` of the documents, ``item_id`` and ``text`` of the benchmark are read. Null and
     empty texts hold nothing. Items of fewer tokens than a window match as a whole, those of fewer than
-    four never. Rows given twice give one row. Empty tables give no rows.
+    four never; items with too few plain words for any window match with the same numbers and names only.
+    Rows given twice give one row. Empty tables give no rows.
     """
     items = item_windows(benchmark)
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH values
+    kinds = items.select("width", F.col("form") == EXACT).distinct().collect()  # at most 2 * WIDTH rows
+    widths, exact = (sorted(w for w, e in kinds if e == form) for form in (False, True))
     known = None
     if items.select("h").distinct().limit(most_broadcast + 1).count() <= most_broadcast:
         found = items.select("h").distinct().toPandas()["h"].to_numpy(np.int64)
@@ -199,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = BR
     text = columns_of(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text"
     )
-    hits = text.mapInArrow(_emit(widths or [WIDTH], known), _DDL).select(
+    hits = text.mapInArrow(_emit(widths, known, exact), _DDL).select(
         F.col("key").alias("doc_id"), "t", F.col("form").alias("doc_form"), F.col("width").alias("w"), F.col("at").alias("doc_at"), "h",
         F.col("slots").alias("doc_slots"),
     )
@@ -214,7 +253,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = BR
     n = F.size("pairs")
     consistent = (F.size(F.array_distinct("pairs.i")) == n) & (F.size(F.array_distinct("pairs.d")) == n)
     long = F.col("n_windows") >= F.least(F.lit(RUN), F.ceil(F.col("n_item_windows") * PART))
-    best = F.max(F.struct("n_windows", "n_item_windows", n.alias("n_slots"))).alias("b")
+    # of alignments alike, one with sentence openers as words
+    usual = (F.col("form") != OPENERS) & (F.col("doc_form") != OPENERS)
+    best = F.max(F.struct("n_windows", "n_item_windows", usual.alias("usual"), n.alias("n_slots"))).alias("b")
     return (
         lines.where(consistent & long)
         .groupBy("doc_id", "t", "item_id")

@@ -224,6 +224,31 @@ def test_template_slots(spark, text, hit):
     assert templates.decontaminate(docs, items).count() == 1 - hit
 
 
+PERCENT = "What is 15% of 240 plus 36?"
+DENSE = "1 2 4 8 16 32 64 128 256 512 1024 2048 4096 what is next"
+CLIPS = "Natalia sold clips to 48 friends. Natalia then sold 24 more."
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "hit"),
+    [
+        (PERCENT, f"Question one. {PERCENT} Answer: 72", True),
+        (PERCENT, "What is 10% of 240 plus 36?", False),
+        (DENSE, f"The row {DENSE}", True),
+        (DENSE, DENSE.replace(" ", "1 "), False),
+        (CLIPS, "Weng sold clips to 31 friends. Weng then sold 17 more.", True),
+        (CLIPS, "So Weng sold clips to 31 friends. Weng then sold 17 more.", True),
+        # another person
+        (CLIPS, "Weng sold clips to 31 friends. Paula then sold 17 more.", False),
+    ],
+)
+def test_templates_of_few_plain_words_and_of_names_that_open(spark, item, text, hit):
+    docs = spark.createDataFrame([(5, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (1000, 0):
+        assert [r.item_id for r in templates.contaminated(docs, items, most).collect()] == [1] * hit
+
+
 def test_templates_without_broadcast(spark):
     docs, items = table(spark, FOLDER, "documents"), table(spark, FOLDER, "benchmark")
     key = lambda df: sorted((r.doc_id, r.item_id, r.n_windows) for r in df.collect())
