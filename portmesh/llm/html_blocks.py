@@ -4,14 +4,16 @@ A page is cut into blocks at block-level tags. Blocks inside containers that nev
 (menus, headers, footers, sidebars, forms, notices, adverts, comments, scripts, styles) are dropped with
 them. The others are classified by stop-word density, length and link density as good, bad or undecided;
 undecided blocks (mostly short ones) then inherit the label of the nearest decided blocks. Inside an
-article element only link lists are bad, and blocks without a decided neighbour are good.
+article element only link lists are bad, and blocks without a decided neighbour are good. A page's article
+elements count as its article only if they hold most of its good text, and so does one in a container that
+would be dropped.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -53,10 +55,15 @@ INLINE = set(
     """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small
     span strike strong sub sup time tt u var wbr img""".split()
 )
-RAW = ("script", "style", "template", "noscript", "textarea", "svg", "math", "iframe")
+RAW = ("script", "style", "template", "noscript", "textarea", "iframe")
+FOREIGN = ("svg", "math")
+#: Elements that may stand in a head; any other one ends a head whose end tag was left out.
+HEAD_LEVEL = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 RUNNING = HEADINGS | {"p", "li", "blockquote", "dd", "dt", "pre", "figcaption"}
 MAIN = {"article", "main"}
+#: Containers in which an article is a teaser or a note rather than the page's article.
+ASIDE = {"aside", "nav", "footer"}
 #: Words in an element's class, id or role that mark it as something else than the article; ``header`` and
 #: its like only outside of one.
 MARKED = re.compile(
@@ -70,7 +77,11 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # comment
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
+    # a foreign element: closed in its tag, or up to its end tag, or without one up to an HTML element
+    r"|<(?P<foreign>" + "|".join(FOREIGN) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+    r"(?:(?<=/)>|>(?s:.*?)</(?P=foreign)\s*>"
+    r"|>(?s:.*?)(?:(?=</?(?:p|div|h[1-6]|ul|ol|li|dl|table|pre|blockquote|body|main|article|section|header|footer|nav|aside)[\s/>])|\Z))"
     r"|<[!?][^>]*(?:>|\Z)"  # declaration
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",  # a quote is missing
@@ -90,6 +101,7 @@ class Block:
     heading: bool
     inside: bool  # inside an article element
     paragraph: bool = False  # in an element of running text
+    revived: int = 0  # in an article of a dropped container: 1, or 2 if that is one of ASIDE
     label: str = ""
 
 
@@ -108,7 +120,8 @@ def blocks(page: str) -> list[Block]:
     # open elements that aren't inline, and how many dropped ones to take off after each
     stack: list[tuple[str, int]] = []
     drop = links = inside = 0
-    seen = False
+    seen: set[int] = set()
+    revived: list[tuple[int, int]] = []  # depth and kind of articles in dropped containers
     pieces: list[str] = []
     linked: list[str] = []
 
@@ -119,7 +132,8 @@ def blocks(page: str) -> list[Block]:
             if text:
                 heading = any(tag in HEADINGS for tag, _ in stack[-2:])
                 running = bool(stack) and stack[-1][0] in RUNNING
-                out.append(Block(text, len(" ".join("".join(linked).split())), heading, inside > 0, running))
+                kind = revived[-1][1] if revived else 0
+                out.append(Block(text, len(" ".join("".join(linked).split())), heading, inside > 0, running, kind))
         pieces, linked = [], []
 
     def close(depth: int):
@@ -128,8 +142,12 @@ def blocks(page: str) -> list[Block]:
             tag, dropped = stack.pop()
             drop -= dropped
             inside -= tag in MAIN
+            if revived and revived[-1][0] == len(stack):
+                revived.pop()
 
     def say(raw: str):
+        if stack and stack[-1][0] == "head" and raw.strip():
+            close(len(stack) - 1)  # its end tag was left out
         if drop or not raw:
             return
         text = entities.unescape(raw)
@@ -146,6 +164,11 @@ def blocks(page: str) -> list[Block]:
         tag, end, attrs = (token["tag" + part] or "").lower(), token["end" + part], token["attrs" + part]
         if not tag:
             continue
+        if not end and stack and (tag == "body" or stack[-1][0] == "head" and tag not in HEAD_LEVEL):
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == "head":
+                    close(depth)  # its end tag was left out
+                    break
         if tag in INLINE or tag == "br":
             if tag == "br":
                 say(" ")
@@ -170,9 +193,14 @@ def blocks(page: str) -> list[Block]:
         if not dropped and attrs and tag not in ("html", "body", "main"):
             dropped = _marked(attrs, inside > 0) or bool(_HIDDEN.search(attrs))
         change = int(dropped)
-        if tag in MAIN and not dropped and not seen:
+        if tag in MAIN and not dropped and not revived:
             # the page's article counts even if a class of what it stands in looked like something else
-            change, seen = -drop, True
+            kind = 0 if not drop else 2 if any(t in ASIDE for t, _ in stack) else 1
+            if max(kind, 1) not in seen:
+                seen.add(max(kind, 1))
+                change = -drop
+                if kind:
+                    revived.append((len(stack), kind))
         stack.append((tag, change))
         drop += change
         inside += tag in MAIN
@@ -250,14 +278,28 @@ def second_pass(found: list[Block]) -> None:
         block.label = label
 
 
+def _good(found: Iterable[Block]) -> int:
+    """Characters of the blocks that are good by themselves."""
+    return sum(len(b.text) for b in found if b.label == GOOD)
+
+
 def main_text(page: str | None) -> str:
     """The good blocks of a page, one to a line; white space inside a block is one space."""
     found = blocks(page or "")
     for block in found:
         block.label = first_pass(block)
+    for kind in (2, 1):
+        own, rest = _good(b for b in found if b.revived == kind), [b for b in found if b.revived != kind]
+        if rest and (own < _good(rest) or own == _good(rest) and kind == 2):
+            found = rest
     if any(b.inside for b in found):
-        # the page says where its article is
-        found = [b for b in found if b.inside]
+        if _good(b for b in found if b.inside) >= _good(b for b in found if not b.inside):
+            # the page says where its article is
+            found = [b for b in found if b.inside]
+        else:
+            for block in found:
+                block.inside = False
+                block.label = first_pass(block)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == GOOD)
 

@@ -289,6 +289,34 @@ def test_pages(page, text):
     assert html_blocks.main_text(page) == text
 
 
+TEASER = "<article><p>Read more of what the others have to say about it, and of what is new in the town.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<p>{LONG * 2}one <svg class="i"/> two</p><p>{LONG * 2}</p>', f"{LONG * 2}one two\n{(LONG * 2).strip()}"),
+        (f"<p>{LONG * 2}<math/>end</p><p>{LONG * 2}<svg><text>no</text></svg></p>", f"{LONG * 2}end\n{(LONG * 2).strip()}"),
+        (f"<svg-icon></svg-icon><p>{LONG * 2}</p><template-x><p>{LONG * 2}</p>", "\n".join([(LONG * 2).strip()] * 2)),
+        (f"<div><svg><path d=x><p>{LONG * 2}</p></div>", (LONG * 2).strip()),
+        (f"<html><head><title>Site</title><meta charset=x><body><p>{LONG * 2}</p>", (LONG * 2).strip()),
+        (f"<html><head><title>Site</title><p>{LONG * 2}</p>", (LONG * 2).strip()),
+        (f"<html><head><title>Site</title>{LONG * 2}<p>{LONG * 2}</p>", "\n".join([(LONG * 2).strip()] * 2)),
+        (f"<head><title>Site</title></head><aside>{TEASER}</aside><div><p>{LONG * 2}</p></div>", (LONG * 2).strip()),
+        (f"<nav>{TEASER}</nav><main><p>{LONG * 2}</p></main>", (LONG * 2).strip()),
+        (f"<div><p>{LONG * 4}</p></div><div class=teaser>{TEASER}</div>", (LONG * 4).strip()),
+        # nothing else than an article in an aside
+        (f"<aside><article><p>{LONG}</p></article></aside>", LONG.strip()),
+    ],
+)
+def test_pages_keep_what_follows(page, text):
+    got = html_blocks.main_text(page)
+    if "class=teaser" in page:
+        assert text in got.split("\n")  # an article of little text doesn't make the page's text go
+    else:
+        assert got == text
+
+
 def test_extract(spark):
     rows = read("pages", "page_id, url, html")
     got = {r.page_id: r for r in html_blocks.op8_html_blocks(spark, FOLDER).collect()}
