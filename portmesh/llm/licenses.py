@@ -1,8 +1,9 @@
 """License scans by ordered signature rules.
 
 Rules are regular expressions made from a table of licenses and a few forms in which licenses are named:
-an SPDX tag, an address, a grant ("licensed under the …"), a name with a version, a bare name. A rule is
-tried only on texts that hold its keyword. Detections are taken by priority, then place, then length; one
+an SPDX tag, an address, a grant ("licensed under the …"), a name with a version, a bare name. Further
+rules, written by hand, are the wording of license texts and standard notices themselves. A rule is tried
+only on texts that hold its keyword. Detections are taken by priority, then place, then length; one
 that lies within the interval of a detection already taken is suppressed, so that "GNU General Public
 License" inside a grant of "GNU General Public License, version 3" isn't a second license.
 """
@@ -95,6 +96,55 @@ public-domain | public-domain | domain | (?:dedicated to|in|into) the public dom
 proprietary | licenseref-proprietary | reserved/proprietary | (?:all rights reserved|proprietary and confidential) | -
 """.strip()  # noqa: E501
 
+# Label, keyword (a word of the wording), and wording of a license's text or its standard notice. A blank is white
+# space and what stands before comment lines; the first that fits an interval counts, so texts that hold
+# others go first.
+BODIES = r"""
+bsd-4-clause | advertising | redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:.{0,900}?all advertising materials mentioning features or use of this software must display
+bsd-3-clause | redistribution | redistribution and use in source and binary forms, with or without modification, are permitted(?: \(subject to the limitations in the disclaimer below\))? provided that the following conditions are met:.{0,1200}?endorse or promote products derived from
+bsd-2-clause | redistribution | redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:.{0,500}?redistributions in binary form must reproduce
+bsd | redistribution | redistribution and use in source and binary forms
+bsd | bsd-style | (?:governed by|under) a bsd-style license that can be found in the license file
+bsd-0-clause | hereby | permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\.
+isc | hereby | permission to use, copy, modify, (?:and/or|and) distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies
+postgresql | hereby | permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted
+boost-1.0 | hereby | permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+ofl-1.1 | hereby | permission is hereby granted, free of charge, to any person obtaining a copy of the font software
+mit | hereby | permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+zlib | warranty | this software is provided ['`"]?as[- ]is['`"]?, without any express or implied warranty\. in no event will the authors be held liable
+apache-2.0 | apache | apache license version 2\.0, january 2004
+apache-2.0 | apache | licensed under the apache license, version 2\.0 \(the ['`"]*license['`"]*\); you may not use this file except in compliance with the license
+apache-1.1 | apache | this product includes software developed by the apache software foundation
+gpl-2.0 | gnu | under the terms of the gnu general public license as published by the free software foundation[;,] either version 2(?: of the license)?
+gpl-3.0 | gnu | under the terms of the gnu general public license as published by the free software foundation[;,] either version 3(?: of the license)?
+gpl-2.0 | gnu | gnu general public license,? version 2, june 1991
+gpl-3.0 | gnu | gnu general public license,? version 3, 29 june 2007
+gpl | gnu | under the terms of the gnu general public license as published by the free software foundation
+lgpl-2.0 | gnu | under the terms of the gnu library general public license as published by the free software foundation[;,] either version 2(?: of the license)?(?!\.)
+lgpl-2.1 | gnu | under the terms of the gnu lesser general public license as published by the free software foundation[;,] either version 2\.1(?: of the license)?
+lgpl-3.0 | gnu | under the terms of the gnu lesser general public license as published by the free software foundation[;,] either version 3(?: of the license)?
+lgpl-2.1 | gnu | gnu lesser general public license,? version 2\.1, february 1999
+lgpl-3.0 | gnu | gnu lesser general public license,? version 3, 29 june 2007
+agpl-3.0 | gnu | under the terms of the gnu affero general public license as published by the free software foundation[;,] either version 3(?: of the license)?
+agpl-3.0 | gnu | gnu affero general public license,? version 3, 19 november 2007
+gfdl-1.2 | gnu | under the terms of the gnu free documentation license, version 1\.2
+gfdl-1.3 | gnu | under the terms of the gnu free documentation license, version 1\.3
+mpl-1.1 | mozilla | the contents of this file are subject to the mozilla public license version 1\.1
+mpl-2.0 | mozilla | this source code form is subject to the terms of the mozilla public license, v\. 2\.0
+epl-1.0 | eclipse | made available under the terms of the eclipse public license v1\.0
+epl-2.0 | eclipse | made available under the terms of the eclipse public license (?:v\. ?)?2\.0
+cddl-1.0 | license | the contents of this file are subject to the terms of the common development and distribution license
+eupl-1.2 | eupl | licensed under the eupl,? version 1\.2
+unlicense | unencumbered | this is free and unencumbered software released into the public domain
+cc0-1.0 | waived | has waived all copyright and related or neighboring rights
+wtfpl | verbatim | everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed
+artistic-1.0 | artistic | the intent of this document is to state the conditions under which a package may be copied, such that the copyright holder maintains some semblance of artistic control
+artistic-2.0 | redistributed | this license establishes the terms under which a given free software package may be copied, modified, distributed, and/or redistributed
+python-2.0 | license | this license agreement is between the python software foundation
+openssl | openssl | this product includes software developed by the openssl project for use in the openssl toolkit
+ms-pl | license | this license governs use of the accompanying software\. if you use the software, you accept this license
+""".strip()  # noqa: E501
+
 _GRANT = r"(?:(?:re)?licen[sc]ed|released|distributed|available|provided|published|redistribut\w+)(?: only)? under"
 _TERMS = r"(?: the)?(?: terms)?(?: and conditions)?(?: of)?(?: the)?(?: version \d(?:\.\d)? of the)?"
 
@@ -115,6 +165,11 @@ def _spaced(pattern: str) -> str:
     )
 
 
+def _body(wording: str) -> re.Pattern:
+    """A blank in the wording of a license is white space or the marks of comment lines."""
+    return re.compile(wording.replace(" ?", "\0?").replace(" ", "\0").replace("\0?", r"[\s*#/;>|%-]*").replace("\0", r"[\s*#/;>|%-]+").encode(), re.S)
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """Every license in every form, in order of priority."""
@@ -135,6 +190,11 @@ def rules() -> tuple[Rule, ...]:
             Rule(label, tuple(k.encode().split(b"/") if p == 50 else [k.encode()]), p + exact, s, re.compile(_spaced(x).encode()))
             for p, s, k, x in forms
         ]
+    # above grants, addresses and 'all rights reserved'
+    for line in BODIES.splitlines():
+        label, keyword, wording = line.split(" | ")
+        exact = bool(re.search(r"\d|clause", label))
+        out.append(Rule(label, (keyword.encode(),), 96 + exact, 0.97, _body(wording)))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -166,10 +226,11 @@ _PHRASES = [
 ]
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
-#: Every rule and phrase holds one of these; texts without any are only counted.
+#: Every rule and phrase holds one of these, a blank being any white space; texts without any are only counted.
 _ANY = re.compile(
-    rb"licen|gpl|bsd|cc0|cc[- \t-\r]by|creative|mpl|epl|cddl|eupl|psf|odbl|pddl|wtfpl|public[ \t-\r]+domain|"
-    rb"all[ \t-\r]+rights|proprietary|://|affero"
+    rb"licen|gpl|bsd|cc0|cc(?:-|[ \t-\r]+)by|creative|mpl|epl|cddl|eupl|psf|odbl|pddl|wtfpl|public[ \t-\r]+domain|"
+    rb"all[ \t-\r]+rights|proprietary|://|affero|"
+    + b"|".join(sorted({re.escape(line.split(" | ")[1].encode()) for line in BODIES.splitlines()}))
 )
 
 

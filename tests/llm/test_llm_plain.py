@@ -110,6 +110,44 @@ def test_license_rules(text, labels, score):
     assert (found["labels"], found["score"]) == (labels, score)
 
 
+BSD = """Copyright (c) 2001 A. Author. All rights reserved.
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice.
+ * 2. Redistributions in binary form must reproduce the above copyright notice."""
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        (BSD, "bsd-2-clause"),
+        (BSD + "\n * 3. The name may not be used to endorse or promote products derived from it.", "bsd-3-clause"),
+        ("# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n"
+         "# copyright notice and this permission notice appear in all copies.", "isc"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files", "mit"),
+        ("under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License", "gpl-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("put  into\nthe  public \t domain", "public-domain"),
+        ("text of cc  by 4.0", "cc-by-4.0"),
+    ],
+)
+def test_license_bodies(text, label):
+    found = licenses.scan(text)
+    assert label in found["labels"].split(",")
+    if label not in ("public-domain", "cc-by-4.0"):
+        assert found["score"] == 0.97
+    assert max(found["spans"], key=lambda s: s["end"] - s["start"])["label"] == label
+
+
+def test_every_body_is_found_behind_its_keyword():
+    wordings = [(line.split(" | ")[0], line.split(" | ")[2]) for line in licenses.BODIES.splitlines()]
+    for label, wording in wordings:
+        text = re.sub(r"\(\?![^)]*\)", "", wording).replace(".{0,500}?", " ").replace(".{0,900}?", " ").replace(".{0,1200}?", " ")
+        text = re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", text)  # the first of each choice
+        text = re.sub(r"\[([^]])[^]]*\][?*]?", r"\1", text).replace("\\(", "(").replace("\\)", ")").replace("\\.", ".").replace(" ?", " ")
+        assert label in licenses.scan(text)["labels"].split(","), (label, text)
+
+
 def test_license_rules_are_hundreds_and_priorities_hold():
     assert len(licenses.rules()) > 200
     spans = [(a, b) for a, b, _, _ in licenses.detections(b"licensed under the gnu general public license, version 3.0")]
