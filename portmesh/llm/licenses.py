@@ -166,8 +166,9 @@ def _spaced(pattern: str) -> str:
 
 
 def _body(wording: str) -> re.Pattern:
-    """A blank in the wording of a license is white space or the marks of comment lines."""
-    return re.compile(wording.replace(" ?", "\0?").replace(" ", "\0").replace("\0?", r"[\s*#/;>|%-]*").replace("\0", r"[\s*#/;>|%-]+").encode(), re.S)
+    """A blank in the wording of a license is white space or the marks of comment lines, which hold the
+    hyphen of ``[- ]``."""
+    return re.compile(wording.replace("[- ]", " ").replace(" ?", "\0?").replace(" ", "\0").replace("\0?", r"[\s*#/;>|%-]*").replace("\0", r"[\s*#/;>|%-]+").encode(), re.S)
 
 
 @lru_cache(maxsize=1)

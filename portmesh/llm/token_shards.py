@@ -66,9 +66,11 @@ _SIMPLE = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa0-\u02ff]*")
 
 
 def _simple_cut() -> re.Pattern:
-    """The file's cuts for simple characters, with letters first as no other cut starts with one."""
+    """The file's cuts for simple characters and their small letters (some lie beyond the range), with
+    letters first as no other cut starts with one."""
     of = {"L": "", "N": ""}
-    for c in map(chr, range(0x300)):
+    simple = [chr(n) for n in range(0x300)]
+    for c in dict.fromkeys([*simple, *"".join(simple).lower()]):
         kind = unicodedata.category(c)[0]
         if kind in of:
             of[kind] += re.escape(c)
