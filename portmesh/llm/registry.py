@@ -15,6 +15,9 @@ OPERATORS = (
     "html_blocks",
     "jaccard_join",
     "token_shards",
+    "conversations",
+    "hard_negatives",
+    "fingerprints",
 )
 
 QUERIES: dict = {}
