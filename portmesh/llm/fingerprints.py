@@ -218,9 +218,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(
         F.col("`doc_id`").cast("long").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")
-    ).withColumn("tie", F.md5("text"))
+    )
+    rows = rows.withColumn("tie", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    found = stored(rows.mapInArrow(_sorted_part, _ROW_DDL), "prints")
+    found = stored(rows.mapInArrow(_sorted_part, _ROW_DDL), "prints", compression="zstd")  # digits of digests
     firsts = found.where("side = 'first'").select(F.col("part").alias("p"), F.col("text").alias("following"))
     # two rows a partition from here on
     numbers = Window.orderBy("part")

@@ -219,13 +219,14 @@ _WINDOW_DDL = "anchor long, w int, hi long, steps array<long>"
 
 
 def _steps(score: np.ndarray, lo: int, hi: int, want: int, share: float) -> list[int]:
-    """Thresholds to try for a window, in falling order; the last one fills it or is its lower end. ``score``
-    are those of the sample, which is ``share`` of all rows."""
-    inside = np.sort(score[(score >= lo) & (score <= hi)])[::-1]
+    """Thresholds to try for a window, in falling order: one that should fill it, one that must, its lower end.
+    ``score`` are those of the sample, which is ``share`` of all rows."""
+    inside = score[(score >= lo) & (score <= hi)]
     if len(inside) < want:
         return [lo]
+    inside = np.sort(inside)[::-1]
     guess = min(want, max(1, int(np.ceil(8 * want * share))))
-    return [int(inside[guess - 1]), int(inside[want - 1])] if guess < want else [int(inside[want - 1])]
+    return sorted({int(inside[guess - 1]), int(inside[want - 1]), lo}, reverse=True)
 
 
 def _aim(sample: tuple[np.ndarray, np.ndarray, np.ndarray], share: float, same: bool, want: int, lowest: int, highest: int):
@@ -234,20 +235,24 @@ def _aim(sample: tuple[np.ndarray, np.ndarray, np.ndarray], share: float, same:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                v = np.array([r["v"]], float).reshape(1, -1)
-                at = np.flatnonzero((labels == r["label"]) & (places != r["pos"]) if same else labels != r["label"])
-                need = np.full(1, -_LONG)
-                score = scores_above(v, m[at], need)[2] if len(at) else np.zeros(0, np.int64)
-                if same:
-                    out.append({"anchor": r["pos"], "w": 0, "hi": _LONG - 1, "steps": _steps(score, -_LONG, _LONG - 1, want, share)})
-                    continue
-                for x in r["positives"]:
-                    lo, hi = -(-lowest * x["score"] // 100), highest * x["score"] // 100
-                    if lo <= hi:
-                        out.append({"anchor": r["pos"], "w": x["rank"], "hi": hi, "steps": _steps(score, lo, hi, want, share)})
-            yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
+            for at in range(0, batch.num_rows, 256):
+                rows, out = batch.slice(at, 256).to_pylist(), []
+                a = np.array(_padded([r["v"] for r in rows]), float)
+                width = max(a.shape[1], m.shape[1])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.pad(a, ((0, 0), (0, width - a.shape[1]))) @ np.pad(m, ((0, 0), (0, width - m.shape[1]))).T
+                scores = np.nan_to_num(scores).clip(-float(1 << 62), float(1 << 62)).astype(np.int64)
+                for r, score in zip(rows, scores, strict=True):
+                    if same:
+                        near = score[(labels == r["label"]) & (places != r["pos"])]
+                        out.append({"anchor": r["pos"], "w": 0, "hi": _LONG - 1, "steps": _steps(near, -_LONG, _LONG - 1, want, share)})
+                        continue
+                    near = score[labels != r["label"]]
+                    for x in r["positives"]:
+                        lo, hi = -(-lowest * x["score"] // 100), highest * x["score"] // 100
+                        if lo <= hi:
+                            out.append({"anchor": r["pos"], "w": x["rank"], "hi": hi, "steps": _steps(near, lo, hi, want, share)})
+                yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
 
     return run
 
@@ -390,12 +395,13 @@ def mine(
         np.array([r.label for r in picked], np.int64),
         np.array(_padded([list(r.v) for r in picked]), float) if picked else np.zeros((0, 0)),
     )
-    windows = stored(anchors.mapInArrow(_aim(kept, share, True, positives, lowest, highest), _WINDOW_DDL), "aims")
+    tasks = -(-anchors.count() // 200) or 1
+    windows = stored(anchors.repartition(tasks, "pos").mapInArrow(_aim(kept, share, True, positives, lowest, highest), _WINDOW_DDL), "aims")
     best = _fill(anchors, blocks, windows, True, positives, block)
     if best is None:  # no anchors
         best = windows.sparkSession.createDataFrame([], f"{_HIT_DDL}, rank int")
     listed = best.groupBy("anchor").agg(F.collect_list(F.struct("rank", "score")).alias("positives"))
-    around = anchors.join(listed, F.col("pos") == F.col("anchor")).drop("anchor")
+    around = anchors.join(listed, F.col("pos") == F.col("anchor")).drop("anchor").repartition(tasks, "pos")
     aims = stored(around.mapInArrow(_aim(kept, share, False, negatives, lowest, highest), _WINDOW_DDL), "aims")
     hard = _fill(anchors, blocks, aims, False, negatives, block)
     if hard is None:
