@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portmesh.functions.scalars import edge_id, to_hex
-from portmesh.sources.xml_graph import GRAPH_TYPE, Catalogue
+from portmesh.sources.xml_graph import Catalogue, graph_type_schema
 from portmesh.sources.xml_log import event_tag
 
 
@@ -103,7 +103,10 @@ def write_graph_types_xml(
             }
         )
     spark = catalogue.graph_types.sparkSession
-    _write(spark.createDataFrame(rows, GRAPH_TYPE), path, "GraphType", "Graphs", namespace, mode)
+    # a dot in a path for each tuple around a member, and a tuple may be empty
+    depth = max((f["path"].count(".") + (f["kind"] == "tuple") for f in fields), default=0)
+    typed = spark.createDataFrame(rows, graph_type_schema(depth))
+    _write(typed, path, "GraphType", "Graphs", namespace, mode)
 
 
 def write_graphs_xml(

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portmesh.functions.scalars import edge_id, split_path, valid_path
+from portmesh.session import checkpoint
+from portmesh.sources.xml_scan import attribute, parsed, scan_elements
 from portmesh.tables import TYPE_FIELDS
 
-# Deepest nesting of tuples inside tuples that the catalogue reads.
-TUPLE_DEPTH = 2
-
 TEXT = T.StringType()
 
 
@@ -36,35 +35,29 @@ def _members(depth: int) -> dict[str, T.DataType]:
     return out
 
 
-SECTION = _struct(**_members(TUPLE_DEPTH))
-PORT = _struct(
-    _name=TEXT, _messageTypeId=TEXT, _edgeTypeId=TEXT, Properties=SECTION, State=SECTION,
-    MetaData=TEXT,
-)
-MESSAGE_TYPE = _struct(_id=TEXT, Message=SECTION, State=SECTION, Properties=SECTION, MetaData=TEXT)
-DEVICE_TYPE = _struct(
-    _id=TEXT, Properties=SECTION, State=SECTION, MetaData=TEXT, SharedCode=T.ArrayType(TEXT),
-    InputPort=T.ArrayType(PORT), OutputPort=T.ArrayType(PORT),
-)
-GRAPH_TYPE = _struct(
-    _id=TEXT, Properties=SECTION, MetaData=TEXT, SharedCode=T.ArrayType(TEXT),
-    MessageTypes=_struct(MessageType=T.ArrayType(MESSAGE_TYPE)),
-    EdgeTypes=_struct(EdgeType=T.ArrayType(MESSAGE_TYPE)),
-    DeviceTypes=_struct(DeviceType=T.ArrayType(DEVICE_TYPE)),
-)
+def graph_type_schema(depth: int) -> T.StructType:
+    """A graph type whose tuples are nested ``depth`` deep at most."""
+    section = _struct(**_members(depth))
+    port = _struct(
+        _name=TEXT, _messageTypeId=TEXT, _edgeTypeId=TEXT, Properties=section, State=section,
+        MetaData=TEXT,
+    )
+    message = _struct(_id=TEXT, Message=section, State=section, Properties=section, MetaData=TEXT)
+    device = _struct(
+        _id=TEXT, Properties=section, State=section, MetaData=TEXT, SharedCode=T.ArrayType(TEXT),
+        InputPort=T.ArrayType(port), OutputPort=T.ArrayType(port),
+    )
+    return _struct(
+        _id=TEXT, Properties=section, MetaData=TEXT, SharedCode=T.ArrayType(TEXT),
+        MessageTypes=_struct(MessageType=T.ArrayType(message)),
+        EdgeTypes=_struct(EdgeType=T.ArrayType(message)),
+        DeviceTypes=_struct(DeviceType=T.ArrayType(device)),
+    )
 
 
 def read_rows(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    """One row per ``tag`` element; only the members named in ``schema`` are kept."""
-    return (
-        spark.read.format("xml")
-        .option("rowTag", tag)
-        .option("valueTag", "_text")
-        .option("ignoreNamespace", "true")
-        .option("recursiveFileLookup", "true")
-        .schema(schema)
-        .load(path)
-    )
+    """One row per ``tag`` element, from splits of any file; only the members named in ``schema`` are kept."""
+    return parsed(scan_elements(spark, path, tag), schema).drop("around")
 
 
 @dataclass(frozen=True)
@@ -141,16 +134,33 @@ def _sections(
     )
 
 
+def _tuple_depth(types: DataFrame) -> int:
+    """How deep tuples are nested in the text of graph types."""
+    tags = F.regexp_extract_all("text", F.lit(r"(</?Tuple\b[^>]*>)"), F.lit(1))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, tag: Column) -> Column:
+        now = state["now"] + F.when(tag.startswith("</"), -1).when(tag.endswith("/>"), 0).otherwise(1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], state["now"] + 1, now).alias("most"))
+
+    return types.agg(F.max(F.aggregate(tags, zero, step, lambda x: x["most"]))).first()[0] or 0
+
+
 def read_graph_types(spark: SparkSession, path: str) -> Catalogue:
-    """Type catalogue of all graph types in the files. Also accepts the older edge-type spelling."""
-    types = read_rows(spark, path, "GraphType", GRAPH_TYPE).withColumnRenamed("_id", "graph_type")
+    """Type catalogue of all graph types in the files, with tuples of any depth: how deep they go is looked up
+    first. Also accepts the older edge-type spelling."""
+    found = checkpoint(scan_elements(spark, path, "GraphType"))  # a few declarations, used many times
+    depth = _tuple_depth(found)
+    schema = graph_type_schema(depth)
+    message_types = schema["MessageTypes"].dataType["MessageType"].dataType
+    types = parsed(found, schema).drop("around").withColumnRenamed("_id", "graph_type")
     no_port = F.lit(None).cast("string")
     messages = types.select(
         "graph_type",
         F.explode(
             F.concat(
-                F.coalesce(F.col("MessageTypes.MessageType"), F.array().cast(T.ArrayType(MESSAGE_TYPE))),
-                F.coalesce(F.col("EdgeTypes.EdgeType"), F.array().cast(T.ArrayType(MESSAGE_TYPE))),
+                F.coalesce(F.col("MessageTypes.MessageType"), F.array().cast(message_types)),
+                F.coalesce(F.col("EdgeTypes.EdgeType"), F.array().cast(message_types)),
             )
         ).alias("m"),
     ).select("graph_type", "m.*")
@@ -179,7 +189,7 @@ def read_graph_types(spark: SparkSession, path: str) -> Catalogue:
     ]
     type_fields = (
         reduce(DataFrame.unionByName, sections)
-        .withColumn("_f", _flatten(F.col("_members"), F.lit(""), TUPLE_DEPTH))
+        .withColumn("_f", _flatten(F.col("_members"), F.lit(""), depth))
         .select(
             "graph_type", "owner_kind", "owner", "port", "section",
             F.posexplode("_f").alias("idx", "f"),
@@ -215,42 +225,36 @@ def metadata(text: Column) -> Column:
 
 
 def read_graphs(spark: SparkSession, path: str, properties: bool = True) -> DataFrame:
-    """Graph instances: id, type and property text.
-
-    A row is a whole ``GraphInstance`` element. For instances too large for that, pass
-    ``properties=False``: the file is then split at every ``>`` and only the opening tags are used.
-    """
+    """Graph instances: id, type, property text and metadata text, from the head of each ``GraphInstance``,
+    which ends where its devices or edges begin. ``properties=False`` leaves the texts out."""
+    schema = _struct(_id=TEXT, _graphTypeId=TEXT, Properties=TEXT, MetaData=TEXT)
+    heads = parsed(scan_elements(spark, path, "GraphInstance"), schema, "GraphInstance")
+    columns = {"id": "_id", "graph_type": "_graphTypeId"}
     if properties:
-        schema = _struct(_id=TEXT, _graphTypeId=TEXT, Properties=TEXT, MetaData=TEXT)
-        return read_rows(spark, path, "GraphInstance", schema).select(
-            F.col("_id").alias("id"),
-            F.col("_graphTypeId").alias("graph_type"),
-            F.col("Properties").alias("props"),
-            F.col("MetaData").alias("metadata"),
-        )
-    tags = spark.read.option("lineSep", ">").option("recursiveFileLookup", "true").text(path)
-    opening = tags.filter(F.col("value").rlike(r"<GraphInstance\s"))
-    attribute = lambda name: F.regexp_extract(
-        "value", rf"""<GraphInstance\s[^<]*\b{name}=["']([^"']*)["']""", 1
-    )
-    return opening.select(
-        attribute("id").alias("id"), attribute("graphTypeId").alias("graph_type")
-    )
+        columns |= {"props": "Properties", "metadata": "MetaData"}
+    return heads.select(*[F.col(old).alias(new) for new, old in columns.items()])
 
 
-def read_devices(spark: SparkSession, path: str, graph_id: bool = False) -> DataFrame:
-    """Devices: id, type, property text and metadata text.
+def _members_of(
+    spark: SparkSession, path: str, tag: str, schema: T.StructType, graph_id: bool
+) -> DataFrame:
+    """Elements of graph instances, with the ``graph_id`` of the instance around them if asked for."""
+    around = "GraphInstance" if graph_id else None
+    rows = parsed(scan_elements(spark, path, tag, around), schema)
+    return rows.withColumn("graph_id", attribute(F.col("around"), "id")) if graph_id else rows
 
-    ``graph_id=True`` adds the id of the file's graph instance and fails when there are several.
-    """
+
+def read_devices(spark: SparkSession, path: str, graph_id: bool = False) -> DataFrame:
+    """Devices: id, type, property text and metadata text; ``graph_id=True`` adds the id of the graph
+    instance around each."""
     schema = _struct(_id=TEXT, _type=TEXT, P=TEXT, Properties=TEXT, M=TEXT)
-    rows = read_rows(spark, path, "DevI", schema).select(
+    return _members_of(spark, path, "DevI", schema, graph_id).select(
         F.col("_id").alias("id"),
         F.col("_type").alias("type"),
         F.coalesce("P", "Properties").alias("props"),
         F.col("M").alias("metadata"),
+        *(["graph_id"] if graph_id else []),
     )
-    return _with_graph_id(spark, rows, path) if graph_id else rows
 
 
 def read_edges(spark: SparkSession, path: str, graph_id: bool = False) -> DataFrame:
@@ -259,7 +263,7 @@ def read_edges(spark: SparkSession, path: str, graph_id: bool = False) -> DataFr
         _path=TEXT, _dstDeviceId=TEXT, _dstPortName=TEXT, _srcDeviceId=TEXT, _srcPortName=TEXT,
         P=TEXT, M=TEXT,
     )
-    raw = read_rows(spark, path, "EdgeI", schema).withColumn("_ends", split_path("_path"))
+    raw = _members_of(spark, path, "EdgeI", schema, graph_id).withColumn("_ends", split_path("_path"))
     ends = {
         "target": "_dstDeviceId",
         "target_port": "_dstPortName",
@@ -276,11 +280,12 @@ def read_edges(spark: SparkSession, path: str, graph_id: bool = False) -> DataFr
         F.col("_path").alias("path"),
         F.col("P").alias("props"),
         F.col("M").alias("metadata"),
+        *(["graph_id"] if graph_id else []),
     )
-    rows = rows.withColumn("id", F.coalesce(edge_id(), F.col("path"))).select(
-        "id", "source", "target", "source_port", "target_port", "path", "props", "metadata"
-    )
-    return _with_graph_id(spark, rows, path) if graph_id else rows
+    return rows.withColumn("id", F.coalesce(edge_id(), F.col("path"))).select(
+        "id", "source", "target", "source_port", "target_port", "path", "props", "metadata",
+        *(["graph_id"] if graph_id else []),
+    )
 
 
 def malformed_edges(edges: DataFrame) -> DataFrame:
@@ -288,10 +293,6 @@ def malformed_edges(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("path").isNotNull() & ~valid_path("path"))
 
 
-def _with_graph_id(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    return rows.withColumn("graph_id", read_graphs(spark, path, properties=False).select("id").scalar())
-
-
 def read_type_references(spark: SparkSession, path: str) -> DataFrame:
     """References to graph types kept in other files: id and source file."""
     return read_rows(spark, path, "GraphTypeReference", _struct(_id=TEXT, _src=TEXT)).select(

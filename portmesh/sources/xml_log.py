@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portmesh.functions.scalars import cancelled, parse_int, within_limit
-from portmesh.sources.xml_graph import read_rows
+from portmesh.sources.xml_scan import parsed, scan_elements
 from portmesh.tables import EVENTS
 
 _COMMON = ["_eventId", "_time", "_elapsed", "_dev", "_rts", "_seq"]
@@ -29,9 +27,10 @@ def event_tag(kind: str) -> str:
     return _BY_KIND[kind][0]
 
 
-def shape_events(raw: DataFrame, kind: str) -> DataFrame:
-    """Raw XML rows of one kind to the event columns."""
+def shape_events(raw: DataFrame, kind: str | Column) -> DataFrame:
+    """Raw XML rows of one kind, or of the kind in a column, to the event columns."""
     has = set(raw.columns)
+    kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def attr(name: str) -> Column:
         return F.col(name) if name in has else F.lit(None).cast("string")
@@ -39,7 +38,7 @@ def shape_events(raw: DataFrame, kind: str) -> DataFrame:
     values = {
         "id": attr("_eventId"),
         "dev": attr("_dev"),
-        "type": F.lit(kind),
+        "type": kind,
         "time": attr("_time").cast("double"),
         "elapsed": attr("_elapsed").cast("double"),
         "rts": parse_int(attr("_rts")),
@@ -59,12 +58,16 @@ def shape_events(raw: DataFrame, kind: str) -> DataFrame:
 def read_events(spark: SparkSession, path: str, max_time: float | None = None) -> DataFrame:
     """All events of a log, state and message as brace-less JSON text.
 
-    ``max_time`` drops later events; rows at the limit stay. The XML source reads one element kind
-    at a time, so the file is scanned once per kind.
+    ``max_time`` drops later events; rows at the limit stay. All kinds are read in one scan.
     """
-    kinds = [
-        shape_events(read_rows(spark, path, event_tag(kind), event_schema(kind)), kind)
-        for kind in _BY_KIND
-    ]
-    events = reduce(DataFrame.unionByName, kinds)
+    kinds = {event_tag(kind): kind for kind in _BY_KIND}
+    found = scan_elements(spark, path, " ".join(kinds))
+    # every attribute of any kind; an event has those of its own
+    schema = T.StructType(list({f.name: f for kind in _BY_KIND for f in event_schema(kind)}.values()))
+    tag = F.regexp_extract("text", r"^<(\w+)", 1)
+    kind = F.when(F.lit(False), "")
+    for name, value in kinds.items():
+        kind = kind.when(tag == name, value)
+    raw = parsed(found.withColumn("around", kind), schema)
+    events = shape_events(raw, F.col("around"))
     return events if max_time is None else events.filter(within_limit("time", max_time))

@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portmesh.functions.scalars import is_init, parse_int, sampled, within_limit
-from portmesh.sources.xml_graph import TEXT, _struct, read_rows
+from portmesh.sources.xml_graph import TEXT, _struct
+from portmesh.sources.xml_scan import attribute, parsed, scan_elements
 
-HEADER = {
-    "_graphInstId": TEXT,
-    "_graphTypeId": TEXT,
-    "_sequenceNumber": TEXT,
-    "_orchestratorTime": TEXT,
-}
 DEVICE = _struct(_id=TEXT, _rts=TEXT, S=TEXT)
 EDGE = _struct(_id=TEXT, _firings=TEXT, S=TEXT, Q=_struct(M=T.ArrayType(TEXT)))
 
@@ -27,19 +22,21 @@ def _snapshots(
     max_epoch: float | None,
     granularity: int,
 ) -> DataFrame:
-    raw = read_rows(
-        spark, path, "GraphSnapshot", _struct(**HEADER, **{member: T.ArrayType(schema)})
-    )
-    time = F.col("_orchestratorTime").cast("double")
+    """Elements of snapshots of any size: a row is one device or edge, and knows the opening tag of its
+    snapshot."""
+    raw = scan_elements(spark, path, member, "GraphSnapshot")
+    tag = F.col("around")
+    time = attribute(tag, "orchestratorTime").cast("double")
     kept = raw.filter(sampled(F.floor(time), granularity))
     if max_epoch is not None:
         kept = kept.filter(within_limit(time, max_epoch))
-    return kept.select(
-        F.col("_graphInstId").alias("graph_id"),
-        F.col("_sequenceNumber").cast("bigint").alias("sequence"),
+    sequence = attribute(tag, "sequenceNumber").cast("bigint")
+    return parsed(kept, schema).select(
+        attribute(tag, "graphInstId").alias("graph_id"),
+        sequence.alias("sequence"),
         F.floor(time).cast("bigint").alias("epoch"),
-        is_init(time, F.col("_sequenceNumber").cast("bigint")).alias("init"),
-        F.explode(member).alias("_item"),
+        is_init(time, sequence).alias("init"),
+        F.struct(*(F.col(f.name) for f in schema)).alias("_item"),
     )
 
 
