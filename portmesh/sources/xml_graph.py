@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from portmesh.functions.scalars import edge_id, split_path, valid_path
 from portmesh.session import checkpoint
-from portmesh.sources.xml_scan import attribute, parsed, scan_elements
+from portmesh.sources.xml_scan import parsed, scan_elements
 from portmesh.tables import TYPE_FIELDS
 
 TEXT = T.StringType()
@@ -149,11 +149,12 @@ def _tuple_depth(types: DataFrame) -> int:
 def read_graph_types(spark: SparkSession, path: str) -> Catalogue:
     """Type catalogue of all graph types in the files, with tuples of any depth: how deep they go is looked up
     first. Also accepts the older edge-type spelling."""
-    found = checkpoint(scan_elements(spark, path, "GraphType"))  # a few declarations, used many times
+    # a few declarations, used many times
+    found = checkpoint(scan_elements(spark, path, "GraphType"))
     depth = _tuple_depth(found)
     schema = graph_type_schema(depth)
     message_types = schema["MessageTypes"].dataType["MessageType"].dataType
-    types = parsed(found, schema).drop("around").withColumnRenamed("_id", "graph_type")
+    types = checkpoint(parsed(found, schema).drop("around").withColumnRenamed("_id", "graph_type"))
     no_port = F.lit(None).cast("string")
     messages = types.select(
         "graph_type",
@@ -239,9 +240,10 @@ def _members_of(
     spark: SparkSession, path: str, tag: str, schema: T.StructType, graph_id: bool
 ) -> DataFrame:
     """Elements of graph instances, with the ``graph_id`` of the instance around them if asked for."""
-    around = "GraphInstance" if graph_id else None
-    rows = parsed(scan_elements(spark, path, tag, around), schema)
-    return rows.withColumn("graph_id", attribute(F.col("around"), "id")) if graph_id else rows
+    if not graph_id:
+        return read_rows(spark, path, tag, schema)
+    rows = parsed(scan_elements(spark, path, tag, "GraphInstance", "id"), schema)
+    return rows.withColumn("graph_id", F.get("around", F.lit(0)))
 
 
 def read_devices(spark: SparkSession, path: str, graph_id: bool = False) -> DataFrame:

@@ -4,8 +4,8 @@ A file is split anywhere. Its text is read as one row per tag, with the text beh
 ``<``), and each task puts the tags of its split together to elements, whole Arrow batches at a time. What a task cannot
 know is settled by a table with one row per split: the element that a split's end cuts goes on with the head of the next
 split, and the last opening tag of the surrounding element (such as ``GraphSnapshot``) is carried on to the splits that
-don't hold one. So a row is one small element, however large the element around it is. Files are read once
-for the elements and once for that table.
+don't hold one. So a row is one small element, however large the element around it is. Files of more than one split
+are taken apart once for the elements and once for that table.
 
 A comment or CDATA section may hold anything, but if it contains one of the tags below and a split's end lies inside it,
 those tags count in the second split.
@@ -13,12 +13,14 @@ those tags count in the second split.
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,15 @@ def _one_of(names) -> str:
     return f"(?:{'|'.join(names)})"
 
 
+_ATTRIBUTE = re.compile(r"""\s([^\s=]+)\s*=\s*("[^"]*"|'[^']*')""")
+
+
+def attributes(tag: str, names: tuple[str, ...]) -> list[str | None]:
+    """The named attributes of an opening tag; None for those it hasn't."""
+    found = {k: html.unescape(v[1:-1]) for k, v in _ATTRIBUTE.findall(tag)}
+    return [found.get(n) for n in names]
+
+
 def _joined(tags: pa.Array) -> str:
     return "<".join(tags.to_pylist())
 
@@ -43,7 +54,8 @@ def _joined(tags: pa.Array) -> str:
 class _Split:
     """The elements of one split, fed batch by batch."""
 
-    def __init__(self, tags: tuple[str, ...], around: str | None):
+    def __init__(self, tags: tuple[str, ...], around: str | None, names: tuple[str, ...], build: bool = True):
+        self.build, self.names = build, names
         self.patterns = {
             _OPEN: rf"^{_one_of(tags)}(?:[\s/>]|$)",
             _CLOSE: rf"^/{_one_of(tags)}\s*>",
@@ -77,8 +89,8 @@ class _Split:
                 return out
             self.skipping, i = None, stop
 
-    def feed(self, tags: pa.Array) -> tuple[list[str], list[str | None], pa.Array | None]:
-        """Elements that end in these tags: those begun before, what is around them, and the others."""
+    def feed(self, tags: pa.Array) -> tuple[list[str], pa.Array, pa.Array | None]:
+        """Elements that end in these tags: one begun before, and the others; and what is around each."""
         live = pc.match_substring_regex(tags, self.known).to_numpy(zero_copy_only=False)
         unread = self._unread(tags)
         if unread is not None:
@@ -89,13 +101,16 @@ class _Split:
                 self.head.append(_joined(tags))
             elif self.open is not None:
                 self.open.append(_joined(tags))
-            return [], [], None
+            return [], _lists([]), None
         some = tags.take(pa.array(at))
         kind = np.full(len(at), _OTHER)
         for k, pattern in self.patterns.items():
             kind[pc.match_substring_regex(some, pattern).to_numpy(zero_copy_only=False)] = k
-        whole = pc.match_substring_regex(some, _EMPTY).to_numpy(zero_copy_only=False)
-        kind[(kind == _OPEN) & whole] = _WHOLE
+        # few tags end like an empty element, and only those need a closer look
+        maybe = np.flatnonzero((kind == _OPEN) & pc.ends_with(pc.utf8_rtrim_whitespace(some), "/>").to_numpy(zero_copy_only=False))
+        if len(maybe):
+            empty = pc.match_substring_regex(some.take(pa.array(maybe)), _EMPTY).to_numpy(zero_copy_only=False)
+            kind[maybe[empty]] = _WHOLE
         ready, ready_around = [], []
         before = int(at[0]) + int(kind[0] == _CLOSE)
         if self.blank:
@@ -113,22 +128,28 @@ class _Split:
         follows = np.minimum(begins + 1, len(at) - 1)
         stops = np.where(kind[begins] == _WHOLE, at[begins] + 1, at[follows] + (kind[follows] == _CLOSE))
         lines = np.flatnonzero(kind == _AROUND)
-        lines_text = [self.around, *(x.partition(">")[0].rstrip("/ \t\r\n") for x in some.take(pa.array(lines)).to_pylist())]
+        known = [self.around, *(attributes(x, self.names) for x in some.take(pa.array(lines)).to_pylist())]
         held = np.searchsorted(lines, begins)
         if len(begins) and begins[-1] == len(at) - 1 and kind[begins[-1]] == _OPEN:
             self.open = [f"<{_joined(tags.slice(int(at[-1])))}"]
-            self.open_around = lines_text[held[-1]]
+            self.open_around = known[held[-1]]
             begins, stops, held = begins[:-1], stops[:-1], held[:-1]
-        self.around = lines_text[-1]
-        if not len(begins):
-            return ready, ready_around, None
+        self.around = known[-1]
+        if not len(begins) or not self.build:
+            return ready, _lists(ready_around), None
         starts = at[begins]
         sizes = stops - starts
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         taken = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tags.take(pa.array(taken)))
         texts = pc.binary_join_element_wise("", pc.binary_join(lists, "<"), "<")
-        return ready, ready_around + [lines_text[h] for h in held], texts
+        around = _lists([*ready_around, *known])
+        places = np.concatenate([np.arange(len(ready)), len(ready) + held])
+        return ready, around.take(pa.array(places)), texts
+
+
+def _lists(values: list) -> pa.Array:
+    return pa.array(values, pa.list_(pa.string()))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array]]:
@@ -141,31 +162,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array]]
                 yield (int(file[a]), int(split[a])), batch.column(0).slice(a, b - a)
 
 
-_INSIDE = pa.schema([("file", pa.int64()), ("split", pa.int64()), ("text", pa.string()), ("around", pa.string())])
+_INSIDE = pa.schema([("file", pa.int64()), ("split", pa.int64()), ("text", pa.string()), ("around", pa.list_(pa.string()))])
 _ENDS = pa.schema(
     [("file", pa.int64()), ("split", pa.int64()), ("head", pa.string()), ("blank", pa.bool_()), ("open", pa.string()),
-     ("open_around", pa.string()), ("around", pa.string())]
+     ("open_around", pa.list_(pa.string())), ("around", pa.list_(pa.string()))]
 )
 
 
-def _inside(tags: tuple[str, ...], around: str | None):
+def _inside(tags: tuple[str, ...], around: str | None, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = split = None
         for now, values in _runs(batches):
             if now != key:
-                key, split = now, _Split(tags, around)
+                key, split = now, _Split(tags, around, names)
             ready, held, texts = split.feed(values)
             found = pa.array(ready, pa.string())
             if texts is not None:
                 found = pa.concat_arrays([found, texts])
             if len(found):
                 columns = [pa.array(np.full(len(found), k, np.int64)) for k in key]
-                yield pa.RecordBatch.from_arrays([*columns, found, pa.array(held, pa.string())], schema=_INSIDE)
+                yield pa.RecordBatch.from_arrays([*columns, found, held], schema=_INSIDE)
 
     return run
 
 
-def _ends(tags: tuple[str, ...], around: str | None):
+def _ends(tags: tuple[str, ...], around: str | None, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = split = None
 
@@ -180,7 +201,7 @@ def _ends(tags: tuple[str, ...], around: str | None):
             if now != key:
                 if key:
                     yield done()
-                key, split = now, _Split(tags, around)
+                key, split = now, _Split(tags, around, names, build=False)
             split.feed(values)
         if key:
             yield done()
@@ -188,22 +209,27 @@ def _ends(tags: tuple[str, ...], around: str | None):
     return run
 
 
-def scan_elements(spark: SparkSession, path: str, tags: str, around: str | None = None) -> DataFrame:
-    """``text`` of each element with one of the ``tags`` (space separated), and ``around``: the last opening
-    tag of the name ``around`` before it in its file, null if there is none.
+def scan_elements(
+    spark: SparkSession, path: str, tags: str, around: str | None = None, attributes: str = ""
+) -> DataFrame:
+    """``text`` of each element with one of the ``tags`` (space separated), and ``around``: the values of the
+    named ``attributes`` of the last opening tag ``around`` before it in its file, null if there is none.
 
     An element that one of ``ELEMENTS`` opens or closes before its own end lasts only to there: so the text of a
     ``GraphInstance`` is its head. The order of rows is not that of the file.
     """
-    names = tuple(tags.split())
+    how = (tuple(tags.split()), around, tuple(attributes.split()))
     lines = (
         spark.read.option("lineSep", "<").option("recursiveFileLookup", "true").text(path)
-        .select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+        .select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("part"))
     )
-    inside = lines.mapInArrow(_inside(names, around), "file long, split long, text string, around string")
-    ends = lines.mapInArrow(
-        _ends(names, around),
-        "file long, split long, head string, blank boolean, open string, open_around string, around string",
+    columns = ["value", "file", "split"]
+    inside = lines.select(*columns).mapInArrow(_inside(*how), "file long, split long, text string, around array<string>")
+    # only files that are split have anything to settle
+    ends = lines.where("part").select(*columns).mapInArrow(
+        _ends(*how),
+        "file long, split long, head string, blank boolean, open string, open_around array<string>, around array<string>",
     )
     # one row per split from here on
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -220,7 +246,7 @@ def scan_elements(spark: SparkSession, path: str, tags: str, around: str | None
     )
     if around:
         carried = ends.select("file", "split", "carried")
-        inside = inside.join(carried, ["file", "split"]).withColumn("around", F.coalesce("around", "carried"))
+        inside = inside.join(carried, ["file", "split"], "left").withColumn("around", F.coalesce("around", "carried"))
     return inside.select("text", "around").unionByName(across)
 
 
@@ -233,12 +259,3 @@ def parsed(elements: DataFrame, schema: T.StructType, head: str | None = None) -
         text = F.when(whole, text).otherwise(F.concat(text, F.lit(f"</{head}>")))
     options = {"valueTag": "_text", "ignoreNamespace": "true"}
     return elements.select(F.from_xml(text, schema, options).alias("_e"), "around").select("_e.*", "around")
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """An attribute of an opening tag; null without it."""
-    found = F.regexp_extract(tag, rf"""(?s)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
-    value = F.substring(found, F.lit(2), F.length(found) - 2)
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        value = F.replace(value, F.lit(entity), F.lit(sign))
-    return F.when(found != "", value)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from portmesh.functions.scalars import is_init, parse_int, sampled, within_limit
 from portmesh.sources.xml_graph import TEXT, _struct
-from portmesh.sources.xml_scan import attribute, parsed, scan_elements
+from portmesh.sources.xml_scan import parsed, scan_elements
 
 DEVICE = _struct(_id=TEXT, _rts=TEXT, S=TEXT)
 EDGE = _struct(_id=TEXT, _firings=TEXT, S=TEXT, Q=_struct(M=T.ArrayType(TEXT)))
@@ -24,15 +24,15 @@ def _snapshots(
 ) -> DataFrame:
     """Elements of snapshots of any size: a row is one device or edge, and knows the opening tag of its
     snapshot."""
-    raw = scan_elements(spark, path, member, "GraphSnapshot")
-    tag = F.col("around")
-    time = attribute(tag, "orchestratorTime").cast("double")
+    raw = scan_elements(spark, path, member, "GraphSnapshot", "graphInstId sequenceNumber orchestratorTime")
+    header = lambda i: F.get("around", F.lit(i))
+    time = header(2).cast("double")
     kept = raw.filter(sampled(F.floor(time), granularity))
     if max_epoch is not None:
         kept = kept.filter(within_limit(time, max_epoch))
-    sequence = attribute(tag, "sequenceNumber").cast("bigint")
+    sequence = header(1).cast("bigint")
     return parsed(kept, schema).select(
-        attribute(tag, "graphInstId").alias("graph_id"),
+        header(0).alias("graph_id"),
         sequence.alias("sequence"),
         F.floor(time).cast("bigint").alias("epoch"),
         is_init(time, sequence).alias("init"),
