@@ -10,6 +10,7 @@ from portmesh.functions.typed import merged_spec, specs_of, widen
 from portmesh.operators import rollups as roll
 from portmesh.operators.partitioning import partition_hierarchy
 from portmesh.session import checkpoint
+from portmesh.sinks.clustered import load_clustered, save_clustered
 from portmesh.sinks.tables import load_model, save_model
 from portmesh.sources.xml_graph import read_devices, read_edges, read_graph_types, read_graphs
 from portmesh.sources.xml_log import read_events
@@ -111,8 +112,10 @@ def build_from_xml(
     granularity: int = 0,
     mode: str = "errorifexists",
     rounds: int = 4,
+    clustered: bool = False,
 ) -> Model:
-    """Files in, Parquet tables out: the whole initial build."""
+    """Files in, Parquet tables out: the whole initial build. ``clustered`` also stores the rows of
+    devices by partition, for views that read only what they show."""
     given, ranged = read_model(spark, graph, log, snapshots, max_epoch, granularity)
     # Parse every file once; everything derived reads the stored columns.
     save_model(given, out, mode)
@@ -121,4 +124,8 @@ def build_from_xml(
     kept = set(given.tables())
     derived = {name: df for name, df in built.tables().items() if name not in kept}
     save_model(Model(**derived), out, mode)
-    return load_model(spark, out, list(built.tables()))
+    whole = load_model(spark, out, list(built.tables()))
+    if clustered and partition_columns(whole.device_partitions):
+        save_clustered(whole, f"{out}/clustered", mode=mode)
+        whole = load_clustered(spark, f"{out}/clustered", whole)
+    return whole

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from portmesh.functions.typed import field_lists
 from portmesh.operators import relations as rel
 from portmesh.operators import rollups as roll
+from portmesh.sinks.clustered import inside
 from portmesh.tables import Model, partition_columns
 
 
@@ -25,6 +26,15 @@ def _children(df: DataFrame, part_id: str) -> DataFrame:
     return df.filter((F.col("level") == _level(part_id)) & (F.col("parent") == part_id))
 
 
+def _of_devices(model: Model, table: str, part_id: str, device: str = "id") -> DataFrame:
+    """Rows of the devices of a partition; of a clustered model only their cells are read."""
+    df, column = getattr(model, table), f"partition_{_level(part_id) - 1}"
+    if model.cells is not None:
+        return inside(df, model.cells, part_id, column)
+    members = model.device_partitions.filter(F.col(column) == part_id).select(F.col("id").alias(device))
+    return df.join(members, device, "left_semi")
+
+
 def drill_down(
     model: Model, part_id: str, init: int = 1, epoch: int = 0
 ) -> tuple[DataFrame, DataFrame]:
@@ -45,13 +55,12 @@ def drill_down(
             .withColumnRenamed("partition_id", "id")
         )
     else:
-        column = f"partition_{level - 1}"
+        states = _of_devices(model, "device_states", part_id).filter(now)
         properties = model.device_properties
-        states = model.device_states.filter(now)
+        if model.cells is not None:
+            properties = _of_devices(model, "device_properties", part_id)
         repeated = [c for c in properties.columns if c in states.columns and c != "id"]
-        interior = rel.states_of_partition(
-            states, properties.drop(*repeated), model.device_partitions, part_id, column
-        ).withColumn("parent", F.lit(part_id))
+        interior = states.join(properties.drop(*repeated), "id").withColumn("parent", F.lit(part_id))
     interior = interior.withColumn("kind", F.lit("interior"))
     edges = (
         _children(model.partition_edges, part_id)
@@ -82,16 +91,13 @@ def event_window(
 
     ``last_recv_only`` keeps the last receive of each send instead of all.
     """
-    column = f"partition_{_level(part_id) - 1}"
-    inside = rel.events_of_partition(
-        model.events, model.device_partitions, part_id, column, start - 1, end + 1
-    )
-    recvs = inside.filter(F.col("type") == "recv")
+    found = _of_devices(model, "events", part_id, "dev").filter(F.col("time").between(start - 1, end + 1))
+    recvs = found.filter(F.col("type") == "recv")
     if last_recv_only:
         rest = [c for c in recvs.columns if c != "send_id"]
         last = F.max_by(F.struct(*rest), F.struct("time", "id")).alias("_last")
         recvs = recvs.groupBy("send_id").agg(last).select("send_id", "_last.*")
-    return rel.sends_in_order(inside), recvs
+    return rel.sends_in_order(found), recvs
 
 
 def stepper(model: Model, part_id: str) -> DataFrame:
@@ -99,8 +105,7 @@ def stepper(model: Model, part_id: str) -> DataFrame:
     level = _level(part_id)
     if level < _depth(model):
         return _children(model.state_rollup, part_id).withColumnRenamed("partition_id", "id")
-    members = model.device_partitions.filter(F.col(f"partition_{level - 1}") == part_id).select("id")
-    return model.device_states.join(members, "id", "left_semi")
+    return _of_devices(model, "device_states", part_id)
 
 
 def catalogue(model: Model) -> dict[str, DataFrame]:

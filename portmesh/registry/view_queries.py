@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from portmesh.operators import rollups as roll
 from portmesh.plans import build, views
-from portmesh.registry import query, with_views
+from portmesh.registry import SQL, query, with_views
 from portmesh.registry.rollup_queries import BORDER, PLACED, r6
+from portmesh.session import scratch_folder
+from portmesh.sinks.clustered import load_clustered, save_clustered
 from portmesh.sources.commerce import Commerce
 from portmesh.tables import TYPE_FIELDS, Model
 
@@ -227,6 +229,38 @@ def vw4(spark, folder):
     return inner.unionByName(views.stepper(model, "base_1_6").select(*columns))
 
 
+def _clustered(spark, model: Model) -> Model:
+    """The model written and read in its clustered layout, two leaf partitions to a cell."""
+    here = scratch_folder(spark, "clustered")
+    save_clustered(model, here, leaves_per_cell=2)
+    return load_clustered(spark, here, model)
+
+
+@query("vw1_clustered_leaf", SQL["vw1_drill_down_leaf"])
+def vw1_clustered(spark, folder):
+    """The leaf view from the clustered layout."""
+    model = _clustered(spark, _structure_model(Commerce(spark, folder)))
+    return _flat(*views.drill_down(model, "base_2_7"))
+
+
+@query("vw3_clustered_window", SQL["vw3_event_window"])
+def vw3_clustered(spark, folder):
+    """The event window from the clustered layout."""
+    c = Commerce(spark, folder)
+    model = _clustered(spark, Model(device_partitions=c.device_partitions(), events=c.pair_events()))
+    sends, recvs = views.event_window(model, "base_2_7", 500, 800)
+    return sends.unionByName(recvs).select("id", "type", "dev", "time", "send_id")
+
+
+@query("vw4_clustered_stepper", SQL["vw4_stepper"])
+def vw4_clustered(spark, folder):
+    """The stepper from the clustered layout, above the leaves and at one."""
+    model = _clustered(spark, _run_model(Commerce(spark, folder)))
+    columns = ["id", "epoch", r6("value").alias("value"), r6("k").alias("k")]
+    inner = views.stepper(model, "base_1").select(*columns)
+    return inner.unionByName(views.stepper(model, "base_1_6").select(*columns))
+
+
 @query(
     "vw5_catalogue",
     with_views(

@@ -11,19 +11,17 @@ from pyspark.sql import functions as F
 from portmesh.tables import LEVELLED, Model
 
 MODES = ("overwrite", "ignore", "errorifexists", "append")
-# Rows inside a file are sorted by these columns, so that readers can skip row groups.
-SORT_KEYS = {"partition_edges": "parent", "border_edges": "parent", "state_rollup": "parent",
-             "property_rollup": "parent", "events": "dev"}
+# Levelled tables are laid out by these columns, so that readers skip files and row groups.
+RANGE_KEY = "parent"
 
 
 def save_table(df: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
     """Write one table; tables with a level get one folder per level."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    key = SORT_KEYS.get(name)
-    if key in df.columns:
-        by = ["level", key] if name in LEVELLED else [key]
-        df = df.sortWithinPartitions(*by)
+    if name in LEVELLED and RANGE_KEY in df.columns:
+        by = ["level", RANGE_KEY]
+        df = df.repartitionByRange(*by).sortWithinPartitions(*by)
     writer = df.write.mode(mode)
     if name in LEVELLED:
         writer = writer.partitionBy("level")

@@ -100,6 +100,7 @@ class Model:
     property_rollup: DataFrame | None = None
     value_ranges: DataFrame | None = None
     meta: DataFrame | None = None
+    cells: DataFrame | None = None  # of a clustered model
 
     def with_tables(self, **tables: DataFrame) -> Model:
         return replace(self, **tables)
