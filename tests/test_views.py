@@ -35,7 +35,10 @@ def small_model(spark, devices=240):
 def stored(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("clustered")
     model = small_model(spark)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # or a model as small as this becomes one task
+    spark.conf.set(name, "false")
     clustered.save_clustered(model, str(path), leaves_per_cell=3)
+    spark.conf.unset(name)
     return model, clustered.load_clustered(spark, str(path), model), path
 
 
