@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from portmesh.registry import query, settled, with_views
+from portmesh.registry import SQL, query, settled, with_views
 from portmesh.registry.rollup_queries import r6
 from portmesh.session import scratch_folder
 from portmesh.sources.commerce import Commerce
+from portmesh.streaming import keyed_state as ks
 from portmesh.streaming import log_streams as ls
 
 
@@ -183,3 +184,78 @@ def st8(spark, folder):
     events = recvs.select("dev", seq.alias("seq"), "time")
     _run(ls.watch_log_order(events, f"{here}/out", f"{here}/cp"))
     return ls.violations(spark, f"{here}/out")
+
+
+# -- with state of their own ---------------------------------------------------------------------------
+
+
+@query("st2_state_read", SQL["st2_running_counts"])
+def st2_state(spark, folder):
+    """The running counts from the state of the stream instead of its stored updates."""
+    here = scratch_folder(spark, "st2s")
+    counts = ls.running_counts(StreamedCommerce(spark, folder).log())
+    _run(ls.keep_updates(counts, f"{here}/out", f"{here}/cp"))
+    return ks.stored_state(spark, f"{here}/cp", counts.columns)
+
+
+@query("st3_state_read", SQL["st3_running_ranges"])
+def st3_state(spark, folder):
+    here = scratch_folder(spark, "st3s")
+    ranges = ls.running_ranges(StreamedCommerce(spark, folder).log_with_state())
+    _run(ls.keep_updates(ranges, f"{here}/out", f"{here}/cp"))
+    return ks.stored_state(spark, f"{here}/cp", ranges.columns)
+
+
+@query(
+    "st5_earliest_by_id",
+    with_views(
+        "pair_events",
+        """, n as (select send_id as id, time, regexp_extract(id, '_([0-9]+)_', 1)::bigint as seq, dev, value
+                  from pair_events where type = 'recv')
+           select id, min((time, seq))[1] as time, min((time, seq))[2] as seq, arg_min(dev, (time, seq)) as dev,
+                  arg_min(value, (time, seq)) as value
+           from n group by id""",
+    ),
+)
+def st5_earliest(spark, folder):
+    """Lines named by their order: the earliest of each, whole."""
+    here = scratch_folder(spark, "st5e")
+    recvs = StreamedCommerce(spark, folder).pair_events().filter(F.col("type") == "recv")
+    seq = F.regexp_extract("id", "_([0-9]+)_", 1).cast("bigint").alias("seq")
+    named = recvs.select(F.col("send_id").alias("id"), "time", seq, "dev", "value")
+    first = ks.earliest_by_id(ls.with_event_time(named, base=1_000_000), late="0 seconds")
+    _run(ks.start_with_state(first.drop("event_time"), ls.ingest, f"{here}/out", f"{here}/cp"))
+    return spark.read.parquet(f"{here}/out")
+
+
+@query(
+    "st7_whole_snapshots",
+    settled(with_views(
+        "u_log",
+        """, last as (select floor((max(time) + 24 - 1) / 24) * 24 as b from u_log),
+             facts as (select dev, time + 24 as time, arg_max(value, seq) as value from u_log group by 1, 2),
+             grid as (select dev, unnest(generate_series((ceil(min(time) / 24) * 24)::bigint, any_value(b)::bigint, 24)) as boundary
+                      from facts, last group by dev)
+           select g.dev, g.boundary, round(f.value, 6) as value
+           from grid g asof join facts f on g.dev = f.dev and g.boundary >= f.time""",
+    )),
+)
+def st7_whole(spark, folder):
+    """The value of every user at the end of each day, changed or not."""
+    here = scratch_folder(spark, "st7w")
+    events = StreamedCommerce(spark, folder).log()
+    log = ls.with_event_time(events.withColumn("time", F.round("time", 6)), base=24)
+    shots = ks.whole_snapshots(log, ["value"], "24 seconds", "1 second", base=24)
+    _run(ks.start_with_state(shots, ls.ingest, f"{here}/out", f"{here}/cp"))
+    return spark.read.parquet(f"{here}/out").withColumn("value", r6("value"))
+
+
+@query("st8_keyed_order", SQL["st8_log_order"])
+def st8_keyed(spark, folder):
+    """Log order with the last step of each device as keyed state."""
+    here = scratch_folder(spark, "st8k")
+    recvs = StreamedCommerce(spark, folder).pair_events().filter(F.col("type") == "recv")
+    seq = F.regexp_extract("id", "[0-9]+", 0).cast("bigint")
+    events = recvs.select("dev", seq.alias("seq"), "time")
+    _run(ks.start_with_state(ks.order_violations(events), ls.ingest, f"{here}/out", f"{here}/cp"))
+    return spark.read.parquet(f"{here}/out")

@@ -4,10 +4,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from portmesh.operators import checks
 from portmesh.operators import relations as rel
 from portmesh.operators import rollups as roll
 from portmesh.sinks import xml
 from portmesh.sources import xml_log
+from portmesh.streaming import keyed_state as ks
 from portmesh.streaming import log_streams as ls
 
 SCHEMA = (
@@ -120,3 +122,57 @@ def test_late_rows_are_counted(spark, folder, log, tmp_path):
     windows = ls.events_per_window(late, "5 seconds", "1 second")
     query = _end(ls.ingest(windows, f"{tmp_path}/w", f"{tmp_path}/wc"))
     assert ls.dropped_late_rows(query) == 1
+
+
+def test_running_totals_from_state(spark, stream, log, tmp_path):
+    counts = ls.running_counts(stream)
+    _end(ls.keep_updates(counts, f"{tmp_path}/c", f"{tmp_path}/cc"))
+    got = ks.stored_state(spark, f"{tmp_path}/cc", counts.columns)
+    assert rows(got) == rows(roll.message_counts(log))
+
+
+def test_the_earliest_row_of_each_id(spark, stream, log, tmp_path):
+    """Copies in one batch and in later ones; a restart gives nothing twice."""
+    named = lambda df: df.withColumn("id", F.concat(F.lit("x"), F.pmod("seq", F.lit(13))))
+    for _ in range(2):
+        first = ks.earliest_by_id(named(stream), "1 second", "1 hour").drop("event_time")
+        _end(ks.start_with_state(first, ls.ingest, f"{tmp_path}/f", f"{tmp_path}/fc"))
+    assert rows(spark.read.parquet(f"{tmp_path}/f").select(log.columns)) == rows(rel.first_by_id(named(log)))
+
+
+def test_whole_snapshots_hold_silent_devices(spark, stream, log, tmp_path):
+    quiet = F.col("dev").isin("hub", "d1") | (F.col("time") < 8)  # the others fall silent
+    for _ in range(2):
+        shots = ks.whole_snapshots(stream.filter(quiet), ["s", "type"], "5 seconds", "1 second", base=10)
+        _end(ks.start_with_state(shots, ls.ingest, f"{tmp_path}/s", f"{tmp_path}/sc"))
+    got = spark.read.parquet(f"{tmp_path}/s")
+    facts = log.filter(quiet).withColumn("time", F.col("time") + 10)
+    # the last event is at 39.5, so the watermark ends at 38.5
+    grid = facts.groupBy("dev").agg(F.min("time").alias("first")).select(
+        "dev", F.explode(F.sequence((F.ceil(F.col("first") / 5) * 5).cast("int"), F.lit(35), F.lit(5))).alias("time")
+    )
+    grid = grid.withColumn("time", F.col("time").cast("double"))
+    want = rel.state_as_of(facts, grid, ["s", "type"]).withColumn("boundary", F.col("time").cast("bigint"))
+    assert rows(got.select("dev", "boundary", "s", "type")) == rows(want.select("dev", "boundary", "s", "type"))
+    assert got.filter("dev = 'd0' and boundary = 35").count() == 1
+
+
+def test_order_with_keyed_state(spark, stream, log, tmp_path):
+    """As the batch rule while seqs come in order; a restart adds nothing."""
+    odd = lambda df: df.withColumn("time", F.when(F.col("seq") % 7 == 0, F.col("time") - 3).otherwise(F.col("time"))).withColumn(
+        "seq", F.when(F.col("seq") % 11 == 0, F.col("seq") - 1).otherwise(F.col("seq"))
+    )
+    for _ in range(2):
+        found = ks.order_violations(odd(stream))
+        _end(ks.start_with_state(found, ls.ingest, f"{tmp_path}/o", f"{tmp_path}/oc"))
+    want = rows(checks.log_order(odd(log)).select("rule", "key", "detail"))
+    assert rows(spark.read.parquet(f"{tmp_path}/o")) == want and want
+
+
+def test_a_seq_that_comes_late_does_not_rise(spark, stream, tmp_path):
+    swapped = stream.filter("dev = 'hub'").withColumn(
+        "seq", F.when(F.col("time") == 15, F.col("seq") - 40).otherwise(F.col("seq"))
+    )
+    _end(ks.start_with_state(ks.order_violations(swapped), ls.ingest, f"{tmp_path}/o", f"{tmp_path}/oc"))
+    got = rows(spark.read.parquet(f"{tmp_path}/o").select("key", "detail"))
+    assert ("hub:6", "seq does not rise") in got and ("hub:7", "seq does not rise") in got
