@@ -155,12 +155,6 @@ def test_mix_order_is_stored(spark):
     assert got == sorted(got)
 
 
-def test_too_many_sources(spark):
-    docs = spark.range(3000).select("id", F.col("id").cast("string").alias("source")).withColumnRenamed("id", "doc_id")
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mixed(docs.withColumn("text", F.lit("x")))
-
-
 def test_pages(spark):
     kinds = "page_id long, url string, html string, text string, n_chars string"
     rows = [(1, "u", "<p>one", "x", "y"), (1, "u", "<p>one", "x", "y"), (None, None, None, None, None), (2, "", "", "", ""), (3, "l", "<article>" + "<p>word " * 40_000, "", "")]

@@ -1,13 +1,16 @@
 """Each operator that SQL can't express against a plain version of it."""
 
+import hashlib
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 from llm_cases import near_groups, odd_docs, shingle_set, template_hits
+from pyspark.sql import functions as F
 
 from portmesh.llm import chunk_dedup, html_blocks, jaccard_join, licenses, mixing, templates, token_shards, wavelet, word_pieces
 from portmesh.llm.common import stored, table, word_hashes
@@ -517,26 +520,90 @@ def test_token_shards(spark):
 # 5 ------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 1.0, "c": 0.3, "d": 2.2, "e": 0.01}])
-def test_every_prefix_is_within_one_block(spark, weights):
+def plain_schedule(units, slots, stretch):
+    """Blocks in order: stretches by the tree's rounding, each earliest deadline first."""
+    total = sum(units.values())
+    at, before = {}, 0
+    for s in sorted(units, key=lambda s: (-units[s].bit_length(), [-int(c) for c in f"{units[s]:b}"[:3]], hashlib.md5(s.encode()).hexdigest()[:15], s)):
+        at[s] = ((2 * before + units[s]) << 32) // (2 * total)
+        before += units[s]
+    weight = Counter()
+    for s in units:
+        for level in range(33):
+            weight[level, at[s] >> (32 - level)] += units[s]
+    stretches = defaultdict(list)
+    for s in units:
+        k = 0
+        while True:
+            n = k
+            for level in range(32, 0, -1):
+                node = at[s] >> (32 - level)
+                w, whole = weight[level, node], weight[level - 1, node >> 1]
+                if w < whole:
+                    n = -(-(2 * n + 1) * whole // (2 * w)) - 1 if node % 2 == 0 else (2 * n + 1) * whole // (2 * w)
+            if n >= slots:
+                break
+            stretches[n // stretch].append((-(-(k + 1) * total // units[s]), s, k * total // units[s], k))
+            k += 1
+    out = []
+    for j in sorted(stretches):
+        jobs = sorted(stretches[j])
+        for i in range(len(jobs)):
+            now = [x for x in jobs if x[2] <= j * stretch + i] or [min(jobs, key=lambda x: x[2])]
+            jobs.remove(now[0])
+            out.append((j * stretch + i, *now[0]))
+    return out
+
+
+@pytest.mark.parametrize(("sources", "slots", "stretch"), [(2, 1024, 256), (20, 1024, 256), (20, 256, 256), (400, 2048, 256), (5000, 8192, 512)])
+def test_every_prefix_follows_the_weights(spark, sources, slots, stretch):
+    rng = random.Random(sources)
+    units = {f"s{i}": 1 + int((rng.random() ** 3 * 1000 + 1) ** 0.7 * 10_000) for i in range(sources)}
+    total, want = sum(units.values()), plain_schedule(units, slots, stretch)
+    blocks = spark.createDataFrame([(x[2], x[4]) for x in want], "src string, block long")
+    weights = spark.createDataFrame(list(units.items()), "src string, units long")
+    got = mixing.schedule(blocks, weights, sources, stretch).select("slot", "deadline", "src", "release", "block").collect()
+    assert sorted(map(tuple, got)) == want
+    assert [x[0] for x in want] == list(range(slots))
+    late = sum(not release <= slot < deadline for slot, deadline, _, release, _ in want)
+    done, most = dict.fromkeys(units, 0), 0
+    for slot, _, s, _, k in want:
+        assert k == done[s]
+        done[s] += 1
+        if slot % 7 == 0:
+            most = max(most, max(abs(done[s] - (slot + 1) * u / total) for s, u in units.items()))
+    assert late <= slots // 500 and most < (1.15 if late else 1)
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 1.0, "c": 0.3, "d": 2.2, "f": 0.0, "none": 3.0}])
+def test_mix_takes_every_document(spark, weights):
     rng = random.Random(2)
-    sizes = {"a": 700, "b": 300, "c": 90, "d": 1000, "e": 16}
+    sizes = {"a": 700, "b": 300, "c": 90, "d": 1000, "e": 16, "f": 5}
     rows = [(i, s) for s, n in sizes.items() for i in [rng.random() for _ in range(n)]]
     docs = spark.createDataFrame([(k, s, "x") for k, (_, s) in enumerate(rows)], "doc_id long, source string, text string")
-    got = mixing.mixed(docs, weights, block=4, period=100).collect()
+    got = mixing.mixed(docs, weights, block=4, stretch=64).collect()
     assert sorted(r.doc_id for r in got) == list(range(len(rows)))
     blocks = {}
     for r in got:
-        assert blocks.setdefault(r.slot, (r.src, r.block, r.release, r.deadline)) == (r.src, r.block, r.release, r.deadline)
-        assert r.release <= r.slot < r.deadline
-    share = mixing.shares(docs.groupBy(docs.source.alias("src")).count().withColumnRenamed("count", "n"), 100, weights)
-    p = {r.src: r.p for r in share.collect()}
-    assert sum(p.values()) == 100 and min(p.values()) >= 1
-    last = {s: -(-n // 4) for s, n in sizes.items()}
-    done = dict.fromkeys(sizes, 0)
-    for slot in range(max(blocks) + 1):
-        if slot not in blocks:
-            break  # a source has run out
+        assert blocks.setdefault(r.slot, (r.src, r.block)) == (r.src, r.block)
+    after = {s for slot, (s, _) in blocks.items() if slot >= mixing.AFTER_ALL}
+    assert after == ({"e", "f"} if weights else set())
+    share = {s: n**0.7 for s, n in sizes.items()} if weights is None else {s: w for s, w in weights.items() if s in sizes and w}
+    last, done = {s: -(-n // 4) for s, n in sizes.items()}, Counter()
+    for slot in sorted(blocks):
         done[blocks[slot][0]] += 1
-        assert all(abs(done[s] - (slot + 1) * p[s] / 100) < 1 for s in sizes)
-    assert any(done[s] == last[s] for s in sizes)
+        if any(done[s] == last[s] for s in share):
+            break  # a source has run out
+        assert all(abs(done[s] - (slot + 1) * w / sum(share.values())) < 1.1 for s, w in share.items())
+    assert slot > 50
+
+
+def test_half_the_slots_for_half_the_weight(spark):
+    """Also with many sources, and with as many sources as documents."""
+    for n in (19, 399):
+        units = {"big": 1 << 20} | {f"s{i}": (1 << 20) // n for i in range(n)}
+        order = plain_schedule(units, 1000, 256)
+        assert abs(sum(x[2] == "big" for x in order) - 500) <= 1
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"), F.lit("x").alias("text"))
+    got = mixing.mixed(docs).select("slot", "place").collect()
+    assert sorted(r.slot for r in got) == list(range(3000)) and all(r.place == 0 for r in got)
