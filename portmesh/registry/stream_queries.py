@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from portmesh.registry import SQL, query, settled, with_views
 from portmesh.registry.rollup_queries import r6
 from portmesh.session import scratch_folder
+from portmesh.sinks.upkeep import KeptModel
 from portmesh.sources.commerce import Commerce
 from portmesh.streaming import keyed_state as ks
 from portmesh.streaming import log_streams as ls
@@ -259,3 +260,27 @@ def st8_keyed(spark, folder):
     events = recvs.select("dev", seq.alias("seq"), "time")
     _run(ks.start_with_state(ks.order_violations(events), ls.ingest, f"{here}/out", f"{here}/cp"))
     return spark.read.parquet(f"{here}/out")
+
+
+# -- kept up batch by batch ------------------------------------------------------------------------------
+
+
+def _kept(spark, folder) -> KeptModel:
+    """The log in three batches by time, the second one given twice."""
+    c = Commerce(spark, folder)
+    model = KeptModel(scratch_folder(spark, "kept"), c.user_partitions(), [], buckets=8)
+    log = c.log_with_state()
+    stretch = F.least(F.floor(F.col("time") / 300), F.lit(2))
+    for k in (0, 1, 1, 2):
+        model.add(k, log.filter(stretch == k))
+    return model
+
+
+@query("e2_kept_counts", SQL["st2_running_counts"])
+def e2(spark, folder):
+    return _kept(spark, folder).counts.read(spark).select("dev", "messages_sent", "messages_received")
+
+
+@query("e3_kept_ranges", SQL["st3_running_ranges"])
+def e3(spark, folder):
+    return _kept(spark, folder).ranges.read(spark).select("state", "min", "max")
