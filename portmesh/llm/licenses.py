@@ -11,6 +11,7 @@ License" inside a grant of "GNU General Public License, version 3" isn't a secon
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -212,10 +213,19 @@ def detections(low: bytes) -> list[tuple[int, int, str, float]]:
                 (-rule.priority, m.start(), m.start() - m.end(), order, m.end(), rule)
                 for m in rule.pattern.finditer(low)
             ]
+    # of the intervals taken, those that lie in no other one: their starts and ends both rise
+    starts: list[int] = []
+    ends: list[int] = []
     taken: list[tuple[int, int, str, float]] = []
     for _, start, _, _, end, rule in sorted(found, key=lambda x: x[:4]):
-        if not any(a <= start and end <= b for a, b, _, _ in taken):
-            taken.append((start, end, rule.label, rule.score))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        taken.append((start, end, rule.label, rule.score))
+        at = bisect_left(starts, start)
+        inside = bisect_right(ends, end)  # those from ``at`` on that end here at the latest lie in this one
+        starts[at : max(at, inside)] = [start]
+        ends[at : max(at, inside)] = [end]
     return sorted(taken)
 
 

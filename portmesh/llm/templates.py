@@ -186,7 +186,9 @@ def _emit(widths: list[int] | None, known: np.ndarray | None, exact: list[int] =
                 some = False
                 for form, (tokens, kind, values) in canonical(cell.as_py()).items():
                     if widths is None:
-                        each = [min(WIDTH, len(tokens))] if len(tokens) > 3 and not (form == EXACT and some) else []
+                        each = [min(WIDTH, len(tokens))]
+                        if len(tokens) < (1 if form == EXACT else 4) or form == EXACT and some:
+                            each = []
                     else:
                         each = exact if form == EXACT else widths
                     for width in each:
@@ -224,8 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = BR
     (their ratio) and ``n_slots`` (distinct values in its slots).
 
     ``doc_id`` and ``text`` of the documents, ``item_id`` and ``text`` of the benchmark are read. Null and
-    empty texts hold nothing. Items of fewer tokens than a window match as a whole, those of fewer than
-    four never; items with too few plain words for any window match with the same numbers and names only.
+    empty texts hold nothing. Items of fewer tokens than a window match as a whole; those of fewer than
+    four tokens, or with too few plain words for any window, match with the same numbers and names only.
     Rows given twice give one row. Empty tables give no rows.
     """
     items = item_windows(benchmark)

@@ -203,6 +203,22 @@ def test_license_rules_are_hundreds_and_priorities_hold():
     assert len(spans) == 1
 
 
+def test_suppression_equals_all_pairs():
+    names = [line.split(" | ")[1] for line in BODY_TEXTS.splitlines()] + ["MIT License", "GPL-3.0", "apache license, version 2.0", "x", "cc by-sa 4.0"]
+    rng = random.Random(3)
+    for _ in range(150):
+        low = " ".join(rng.choices(names, k=rng.randint(1, 25))).encode().lower()
+        found = sorted(
+            (-rule.priority, m.start(), m.start() - m.end(), order, m.end(), rule.label, rule.score)
+            for order, rule in enumerate(licenses.rules()) if any(k in low for k in rule.keywords) for m in rule.pattern.finditer(low)
+        )
+        taken = []
+        for _, start, _, _, end, label, score in found:
+            if not any(a <= start and end <= b for a, b, _, _ in taken):
+                taken.append((start, end, label, score))
+        assert licenses.detections(low) == sorted(taken)
+
+
 # 6 ------------------------------------------------------------------------------------------------------
 
 
@@ -342,6 +358,16 @@ def test_templates_without_broadcast(spark):
     assert key(templates.contaminated(docs, items, most_broadcast=3)) == key(templates.contaminated(docs, items))
 
 
+def test_short_items_are_found_as_they_stand(spark):
+    docs = spark.createDataFrame(
+        [(1, "Well, compute 12 * 7 now"), (2, "Compute 12 * 8"), (3, "What is 3 + 4? I ask"), (4, "Tuesday"), (5, ""), (6, None)],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, "Compute 12 * 7"), (2, "What is 3 + 4?"), (3, "tuesday"), (4, ""), (5, "?!"), (6, None)], "item_id long, text string")
+    got = templates.contaminated(docs, items).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (3, 2), (4, 3)]
+
+
 # 8 ------------------------------------------------------------------------------------------------------
 
 LONG = "the river runs from the hills to the sea and it is said that the town was built on the bank of it in the year of the flood. "
