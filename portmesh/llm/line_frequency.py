@@ -200,17 +200,16 @@ l as (
     ('0x' || substr(md5(regexp_replace(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')),
       '[0-9]+', '0', 'g')), 1, 15))::bigint as h
   from (select rid, host, unnest(ls) as x from w)),
-hs as (select rid, list_sort(list_distinct(list(h))) as hs from l group by rid),
-held as (
-  select rid, host, h, n, case when h = hs[1] then hs[2] else hs[1] end as lo,
-         case when h = hs[-1] then hs[-2] else hs[-1] end as hi
-  from l join hs using (rid)),
+hs as (
+  select host, coalesce(list_sort(list_distinct(list(h) filter (h is not null))), []) as hs
+  from d left join (select rid, h from l) using (rid) group by rid, host),
+sets as (select distinct host, hs from hs),
 frequent as (
   select host, h from (
-    select host, h, count(*) as n_docs from (select distinct host, h, lo, hi from held) group by all)
-  join (select host, count(distinct t) as n_texts from d group by host) using (host)
+    select host, h, count(*) as n_docs from (select host, unnest(hs) as h from sets) group by all)
+  join (select host, count(*) as n_texts from sets group by host) using (host)
   where n_docs >= 5 and n_docs * 100 >= n_texts * 5),
-gone as (select rid, sum(n) as gone from held semi join frequent using (host, h) group by rid),
+gone as (select rid, sum(n) as gone from l semi join frequent using (host, h) group by rid),
 f as (
   select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) as n_symbols,

@@ -30,6 +30,21 @@ def test_sql(spark, name):
     assert problem is None, problem
 
 
+def test_lines_count_documents_by_their_line_sets(spark):
+    """Documents of a template and one line of their own: each is a document for the template's lines, though the least
+    and the greatest of a document's other hashes are mostly the template's."""
+    template = [f"template line number {'abcdefghij'[k]} of this site with some words" for k in range(8)]
+    rows = [(i, "\n".join([*template, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(14))]), "h", "en") for i in range(60)]
+    rows += [(100 + i, rows[0][1], "h", "en") for i in range(20)] + [(200, None, "h", "en"), (201, "", "h", "en"), (202, "\n\n", "h", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = line_frequency.verdicts(line_frequency.profile(docs)).select("doc_id", "kept", "n_left").collect()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(f"select doc_id, kept, n_left from ({line_frequency.OP2_SQL})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r.n_left for r in got if r.doc_id < 100} == {14}
+
+
 def test_pipeline(spark):
     docs = table(spark, FOLDER, "documents")
     tables = []
