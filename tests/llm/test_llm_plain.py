@@ -231,30 +231,37 @@ def plain_chunks(text):
     for i, m in enumerate(found):
         h = (h << 1) + numbers[i]
         chunk.append(m[0])
-        line_end = i + 1 == len(found) or "\n" in low[m.end() : found[i + 1].start()]
-        if h % chunk_dedup.SPACE < chunk_dedup.CUTS or line_end or len(chunk) == chunk_dedup.LONGEST:
+        if h % chunk_dedup.SPACE < chunk_dedup.CUTS or i + 1 == len(found) or len(chunk) == chunk_dedup.LONGEST:
             out.append(tuple(chunk))
             chunk = []
     return out
 
 
 def plain_passages(rows, least=chunk_dedup.LEAST_WORDS):
-    first, out = {}, set()
-    split = {(d, t): plain_chunks(t) for d, t in sorted(set(rows))}
-    for key, chunks in split.items():
-        for no, c in enumerate(chunks):
-            first.setdefault(c, (*key, no))
-    for (d, t), chunks in split.items():
-        at, run = 0, []
-        for no, c in enumerate([*chunks, ()]):
-            if c and first[c] != (d, t, no):
-                run.append((at, len(c), first[c][0]))
+    first, stretches, out = {}, {}, set()
+    for d, t in sorted(set(rows)):
+        chunks, stretches[d, t] = plain_chunks(t), []
+        for no in range(len(chunks)):
+            upto, n = no, 0
+            while upto < len(chunks) and n < least:
+                n += len(chunks[upto])
+                upto += 1
+            if n >= least:
+                at = sum(len(c) for c in chunks[:no])
+                stretch = tuple(chunks[no:upto])
+                first.setdefault(stretch, (d, t, no))
+                stretches[d, t].append((no, upto, at, at + n, stretch))
+    for (d, t), found in stretches.items():
+        passages = []
+        for no, upto, start, end, stretch in found:
+            if first[stretch] == (d, t, no):
+                continue
+            one = first[stretch][0]
+            if passages and start < passages[-1][3]:
+                passages[-1][1], passages[-1][3], passages[-1][4] = upto, end, min(one, passages[-1][4])
             else:
-                n = sum(x[1] for x in run)
-                if run and n >= least:
-                    out.add((d, run[0][0], n, len(run), min(x[2] for x in run)))
-                run = []
-            at += len(c)
+                passages.append([no, upto, start, end, one])
+        out |= {(d, start, end - start, upto - no, one) for no, upto, start, end, one in passages}
     return out
 
 
@@ -294,6 +301,49 @@ def test_passages_of_over_fifty_words_are_found_and_cut(spark):
             assert len(cut[d].split()) < len(text.split()) - 11 and cut[d].split()[:30] == text.split()[:30]
 
 
+def wrapped(text, width):
+    words = text.split()
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+@pytest.mark.parametrize(("n_words", "width"), [(55, 8), (55, 12), (80, 8), (80, 12)])
+def test_passages_with_other_line_breaks_are_found(n_words, width):
+    rng = random.Random(n_words + width)
+    fill = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    found = 0
+    for _ in range(300):
+        passage = fill(n_words)
+        one = f"{fill(rng.randint(0, 40))} {passage} {fill(30)}"
+        two = wrapped(f"{fill(rng.randint(0, 40))} {passage} {fill(30)}", width)
+        found += bool(set(chunk_dedup.stretches_of(one)[4]) & set(chunk_dedup.stretches_of(two)[4]))
+    assert found >= 295
+
+
+def test_chunks_of_different_places_make_no_passage(spark):
+    rng = random.Random(7)
+    fill = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    common = [" ".join(c) for _ in range(40) for c in plain_chunks(fill(60))[1:-1]]
+    # each common chunk stands in a text of its own, and many behind one another in the last ones
+    rows = [(i, f"{fill(8)} {c} {fill(8)}") for i, c in enumerate(common)]
+    rows += [(10_000 + i, " ".join(rng.sample(common, 60))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    windows = Counter()
+    for _, text in rows:
+        words = text.split()
+        windows.update({tuple(words[i : i + 12]) for i in range(len(words) - 11)})
+    for r in chunk_dedup.repeated_passages(docs).collect():
+        words = dict(rows)[r.doc_id].split()[r.start_word : r.start_word + r.n_words]
+        assert windows[tuple(words[:12])] > 1
+
+
+def test_repeats_within_a_text(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 29}" for i in range(400))), (2, "same " * 300)], "doc_id long, text string")
+    found = stored(chunk_dedup.repeated_passages(docs), "found")
+    got = {(r.doc_id, r.start_word, r.n_words, r.n_chunks, r.first_doc_id) for r in found.collect()}
+    assert got == plain_passages([(r.doc_id, r.text) for r in docs.collect()]) and {x[0] for x in got} == {1, 2}
+    assert all(r.text.split() for r in chunk_dedup.without_passages(docs, found).collect())
+
+
 # 7 ------------------------------------------------------------------------------------------------------
 
 
