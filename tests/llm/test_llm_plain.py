@@ -257,7 +257,7 @@ def plain_passages(rows, least=chunk_dedup.LEAST_WORDS):
             if first[stretch] == (d, t, no):
                 continue
             one = first[stretch][0]
-            if passages and start < passages[-1][3]:
+            if passages and start <= passages[-1][3]:
                 passages[-1][1], passages[-1][3], passages[-1][4] = upto, end, min(one, passages[-1][4])
             else:
                 passages.append([no, upto, start, end, one])
@@ -298,7 +298,7 @@ def test_passages_of_over_fifty_words_are_found_and_cut(spark):
         if d not in got:
             assert cut[d] == text
         else:
-            assert len(cut[d].split()) < len(text.split()) - 11 and cut[d].split()[:30] == text.split()[:30]
+            assert len(cut[d].split()) < len(text.split()) - 15 and cut[d].split()[:30] == text.split()[:30]
 
 
 def wrapped(text, width):
@@ -316,7 +316,7 @@ def test_passages_with_other_line_breaks_are_found(n_words, width):
         one = f"{fill(rng.randint(0, 40))} {passage} {fill(30)}"
         two = wrapped(f"{fill(rng.randint(0, 40))} {passage} {fill(30)}", width)
         found += bool(set(chunk_dedup.stretches_of(one)[4]) & set(chunk_dedup.stretches_of(two)[4]))
-    assert found >= 295
+    assert found >= 290
 
 
 def test_chunks_of_different_places_make_no_passage(spark):
@@ -330,10 +330,10 @@ def test_chunks_of_different_places_make_no_passage(spark):
     windows = Counter()
     for _, text in rows:
         words = text.split()
-        windows.update({tuple(words[i : i + 12]) for i in range(len(words) - 11)})
+        windows.update({tuple(words[i : i + 16]) for i in range(len(words) - 15)})
     for r in chunk_dedup.repeated_passages(docs).collect():
         words = dict(rows)[r.doc_id].split()[r.start_word : r.start_word + r.n_words]
-        assert windows[tuple(words[:12])] > 1
+        assert windows[tuple(words[:16])] > 1
 
 
 def test_repeats_within_a_text(spark):
