@@ -493,6 +493,67 @@ def test_extract(spark):
         assert (r.url, r.text, r.n_chars) == (url, want, len(want))
 
 
+TEXT = (LONG * 2).strip()
+RUSSIAN = ("Река течёт с холмов к морю, и говорят, что город был построен на её берегу в год наводнения. " * 3).strip()
+CHINESE = "这条河从山上流到海里，据说这座城市是在洪水那一年建在河岸上的。" * 4
+MARK = "The mark \xa9 was used by the town in the year of the flood and it is said that it is on the wall of the hall."
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ['div class="content overflow-hidden"', 'article class="post overflow-hidden"', 'div title="the hidden city"',
+     'article title="the hidden city"', 'div class="elementor-widget-container"', 'div class="widget-text"',
+     'article class="widget-text"', 'div id="privacy-policy"', 'div class="market-share-report"',
+     'div class="layout sidebar-right"', 'div class="comments-on-policy"', 'div class=hidden-gems', "div data-hidden=1"],
+)
+def test_names_of_containers_that_hold_the_text(opening):
+    end = opening.split()[0]
+    assert html_blocks.main_text(f"<{opening}><p>{TEXT}</p></{end}>") == TEXT
+    many = f"<{opening}><p>{TEXT}</p></{end}>" * 3 if end == "div" else ""
+    assert not many or html_blocks.main_text(f"<p>{TEXT}</p>{many}") == "\n".join([TEXT] * 4)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><fieldset><p>{TEXT}</p></fieldset></article>", [TEXT]),
+        (f'<article><p>{TEXT}</p><section id="related-work"><p>{TEXT}</p></section></article>', [TEXT] * 2),
+        (f"<article><p>{TEXT}</p><p><a href=x>{TEXT}</a></p><p>{TEXT}</p></article>", [TEXT] * 3),
+        (f"<p>{TEXT}</p><p>{MARK}</p><p>{TEXT}</p>", [TEXT, MARK, TEXT]),
+        (f"<p>{TEXT}</p><p>\xa9 2020 The Town. All rights reserved.</p>", [TEXT]),
+        (f"<ul><li><a>один</a><li><a>два</a></ul><p>{RUSSIAN}</p><ul><li><a>три</a></ul>", [RUSSIAN]),
+        (f"<ul><li><a>一</a><li><a>二</a></ul><p>{CHINESE}</p><ul><li><a>三</a></ul>", [CHINESE]),
+        # what isn't the article's
+        (f'<article><p>{LONG}<span class="ad-label">Advert</span></p><p><span hidden>no</span>{TEXT}</p></article>', [LONG.strip(), TEXT]),
+        (f'<article><p>{LONG}<span hidden><b>a <span>b</span> c</b></span>end</p></article>', [f"{LONG}end"]),
+        (f'<article><p>{TEXT}</p><div style="display: none"><p>{TEXT}</p></div><p hidden=until-found>{TEXT}</p></article>', [TEXT] * 2),
+        (f'<article><p>{TEXT}</p><div class="comment-list"><p>{LONG * 9}</p></div></article>', [TEXT]),
+        (f'<article><p>{TEXT}</p><div class="related-posts"><p>{LONG}</p><a>one</a></div><div class="newsletter-box"><p>{TEXT}</p></div></article>', [TEXT]),
+        (f'<div class=post><p>{TEXT}</p></div><div id="user-comments"><p>{LONG * 9}</p></div><div class="site-sidebar"><p>{TEXT}</p></div>', [TEXT]),
+        (f'<div class="layout sidebar-right"><p>{TEXT}</p><div class="sidebar-box"><p>{TEXT}</p></div></div>', [TEXT]),
+        (f'<div class="has-sidebar"><p>{TEXT}</p></div><div class="sidebar"><p>{LONG * 9}</p></div>', [TEXT]),
+    ],
+)
+def test_names_and_attributes(page, text):
+    assert html_blocks.main_text(page) == "\n".join(text)
+
+
+def test_given_pages_without_article_elements_and_names():
+    lost = more = n = 0
+    for _, page in read("pages", "page_id, html", "/root/testdata/sf0.01"):
+        plain = re.sub(r"<(/?)article\b[^>]*>", r"<\1div>", page)
+        want = html_blocks.main_text(page)
+        assert html_blocks.main_text(plain) == want
+        # nothing but the two passes can tell menus, footers and adverts from the text
+        bare = re.sub(r"<(/?)(?:nav|aside|header|footer)\b[^>]*>", r"<\1div>", plain)
+        bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|[^\s>]+)", "", bare)
+        has, got = Counter(want.split("\n")), Counter(html_blocks.main_text(bare).split("\n"))
+        n += len(want)
+        lost += sum(len(x) * k for x, k in (has - got).items())
+        more += sum(len(x) * k for x, k in (got - has).items())
+    assert lost < 0.03 * n and more < 0.01 * n
+
+
 # 9 ------------------------------------------------------------------------------------------------------
 
 
