@@ -123,7 +123,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     )
     every = stored(text.mapInArrow(partial(_stretches, least_words=least_words), _DDL), "stretches", compression="zstd")
     again = every.groupBy("d1").count().where("count > 1").select("d1")
-    found = stored(every.join(again, "d1", "left_semi").distinct(), "again", compression="zstd")
+    # rows given twice need no removal: their stretches stand in one place, and overlap in a passage
+    found = stored(every.join(again, "d1", "left_semi"), "again", compression="zstd")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "no")
     first = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     # a table of its own: the rows of a very common stretch can then be split in the join
