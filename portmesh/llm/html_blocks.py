@@ -115,7 +115,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RIGHTS = re.compile(r"(?:copyright\s*)?(?:\xa9|\(c\))", re.I)
-_SENTENCE = re.compile(r"[^.!?\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964]+[.!?\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964]+")
+_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\u061f\u06d4\u0964]+")
 #: Letters of scripts without spaces between words; each counts for three of others.
 _DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -295,7 +295,9 @@ def blocks(page: str) -> list[Block]:
 
 def stop_density(text: str) -> float:
     words = text.lower().split()
-    return sum(_EDGE.sub("", w) in _STOP for w in words) / len(words) if words else 0.0
+    # letters alone have no edges to take off
+    hits = sum(w in _STOP or (not w.isalpha() and _EDGE.sub("", w) in _STOP) for w in words)
+    return hits / len(words) if words else 0.0
 
 
 def weight(text: str) -> int:
@@ -305,11 +307,13 @@ def weight(text: str) -> int:
 
 def sentence_density(text: str) -> float:
     """Share of the characters that stand in full sentences."""
-    full = 0
-    for match in _SENTENCE.finditer(text):
-        sentence = match[0]
-        if len(sentence.split()) >= SENTENCE_WORDS or len(_DENSE.findall(sentence)) >= SENTENCE_LETTERS:
+    full = at = 0
+    plain = text.isascii()
+    for match in _END.finditer(text):
+        sentence = text[at : match.end()]
+        if len(sentence.split()) >= SENTENCE_WORDS or not plain and len(_DENSE.findall(sentence)) >= SENTENCE_LETTERS:
             full += len(sentence)
+        at = match.end()
     return full / len(text) if text else 0.0
 
 
