@@ -116,22 +116,36 @@ def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return ends.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+#: Snapshots whose keys stand in one list next to a device.
+SNAPSHOTS_PER_BLOCK = 1000
+
+
 def complete_snapshot(
     states: DataFrame,
     devices: DataFrame,
     defaults: dict[str, object],
     epochs: DataFrame | None = None,
     keys: Sequence[str] = ("epoch", "init"),
+    snapshots_per_block: int = SNAPSHOTS_PER_BLOCK,
 ) -> DataFrame:
     """Every device in every snapshot: missing states take ``defaults``, a missing mask is 0.
 
-    The grid of devices and snapshots is the result's own size; it is made by exploding the list of
-    snapshots next to each device. That list has one entry per snapshot, not per row.
+    The grid of devices and snapshots is the result's own size. Snapshots are dealt by a hash into blocks of
+    about ``SNAPSHOTS_PER_BLOCK``; a device is joined with each block and the block's list is exploded next
+    to it, so no row holds the list of all snapshots.
     """
     epochs = states.select(*keys).distinct() if epochs is None else epochs
-    listed = epochs.agg(F.collect_list(F.struct(*keys))).scalar()
-    grid = devices.select("id", F.explode(listed).alias("_s")).select(
-        "id", *[F.col(f"_s.{k}").alias(k) for k in keys]
+    blocks = F.greatest(F.lit(1), F.ceil(epochs.agg(F.count("*")).scalar() / snapshots_per_block)).cast("int")
+    listed = (
+        epochs.select(F.struct(*keys).alias("_s"), F.pmod(F.xxhash64(*keys), blocks).cast("int").alias("_b"))
+        .groupBy("_b")
+        .agg(F.collect_list("_s").alias("_l"))
+    )
+    grid = (
+        devices.select("id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"))
+        .join(listed, "_b")
+        .select("id", F.explode("_l").alias("_s"))
+        .select("id", *[F.col(f"_s.{k}").alias(k) for k in keys])
     )
     known = grid.join(states, ["id", *keys], "left")
     filled = [

@@ -103,6 +103,16 @@ def test_complete_snapshot(spark, parts):
     assert out.count() == 6
 
 
+def test_complete_snapshot_with_snapshots_in_many_blocks(spark):
+    states = spark.sql("select concat('d', id % 7) as id, id as epoch, 0 as init, id * 0.5 as v from range(100)")
+    devices = spark.sql("select concat('d', id) as id from range(9)")
+    want = {(f"d{i}", e, 0, e * 0.5 if e % 7 == i else -1.0) for i in range(9) for e in range(100)}
+    for size in (3, 100, 1000):
+        out = rel.complete_snapshot(states, devices, {"v": -1.0}, snapshots_per_block=size).collect()
+        assert len(out) == 900 and {(r.id, r.epoch, r.init, float(r.v)) for r in out} == want
+    assert rel.complete_snapshot(states.limit(0), devices, {"v": -1.0}).count() == 0
+
+
 def test_neighbours_and_touched(spark, edges):
     ids = spark.createDataFrame([("b",)], "id string")
     got = rows(rel.neighbours(edges, ids).select("neighbour", "edge"))
