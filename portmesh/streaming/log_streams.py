@@ -6,16 +6,22 @@ is 1970-01-01, so a row at exactly that time would count as late: keep ``base``
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from portmesh.operators.checks import log_order
 from portmesh.sources.xml_log import event_schema, event_tag, shape_events
 
+# Rows of a stream's task that wait to be packed.
+ROWS_HELD = 1_000_000
+
 # -- sources ------------------------------------------------------------------------------------------
 
 
@@ -128,6 +134,56 @@ def running_ranges(events: DataFrame, state: str = "s") -> DataFrame:
     )
 
 
+def _packed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of equal ``keys`` that meet in a task as one row with an Arrow stream, ``pack``, of the other columns."""
+    names = [c for c in rows.columns if c not in keys]
+    places = {f.name: f for f in rows.schema}
+    result = StructType([*(places[k] for k in keys), StructField("pack", BinaryType())])
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        order = table.select(keys).group_by(keys, use_threads=False).aggregate([([], "count_all")])
+        table = table.sort_by([(k, "ascending") for k in keys])
+        order = order.sort_by([(k, "ascending") for k in keys])
+        packs, at = [], 0
+        for n in order["count_all"].to_pylist():
+            sink = pa.BufferOutputStream()
+            part = table.select(names).slice(at, n).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            packs.append(sink.getvalue().to_pybytes())
+            at += n
+        done = order.select(keys).append_column("pack", pa.array(packs, pa.binary()))
+        return done.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS_HELD:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    return rows.repartition(*keys).mapInArrow(run, result)
+
+
+def _matched(packs: DataFrame, left: StructType, right: StructType, on: str) -> DataFrame:
+    """Rows of the packs ``left`` and ``right`` of each row that agree in ``on``."""
+    result = StructType([*left, *(f for f in right if f.name != on)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                one, other = (pa.ipc.open_stream(x.as_buffer()).read_all() for x in (a, b))
+                both = one.join(other, on, join_type="inner", use_threads=False).select(result.names)
+                yield from both.to_batches(max_chunksize=10_000)
+
+    return packs.mapInArrow(run, result)
+
+
 def pair_messages(
     sends: DataFrame,
     recvs: DataFrame,
@@ -135,35 +191,68 @@ def pair_messages(
     longest: str = "1 hour",
     early: str = "0 seconds",
     salts: int = 8,
+    shares: int = 1024,
 ) -> DataFrame:
     """Receives joined to their sends as both arrive; both need ``event_time``.
 
     A receive may lie up to ``longest`` after and ``early`` before its send. One send can own a large
     share of the receives, so receives are spread over ``salts`` and every send is copied to each.
+
+    The state of the join has its price per row, so a batch brings it packs instead of rows: those of one
+    of ``shares`` hashes of the send id and of one cell of time, as wide as a message may take. A pack is
+    held until the end of its cell cannot be met any more. Rows later than the watermark are lost,
+    but for those whose cell is still held.
     """
+    width = max(1, math.ceil(sum(pd.Timedelta(x).total_seconds() for x in (longest, early))))
+
+    def cell(at: str) -> Column:
+        """The end of the cell, not before the time itself."""
+        return F.timestamp_seconds((F.floor(F.unix_micros(at) / (width * 1_000_000)) + 1) * width)
+
+    share = F.pmod(F.xxhash64("send_id"), F.lit(shares)).cast("int")
     left = sends.select(
         F.col("id").alias("send_id"),
         F.col("dev").alias("source"),
         F.col("time").alias("send_time"),
         F.col("event_time").alias("_sent_at"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    ).withWatermark("_sent_at", late)
+    ).where(F.col("send_id").isNotNull() & F.col("_sent_at").isNotNull())
     right = recvs.select(
-        F.col("send_id").alias("_send_id"),
+        "send_id",
         F.col("id").alias("recv_id"),
         F.col("dev").alias("target"),
         F.col("time").alias("recv_time"),
         F.col("event_time").alias("_received_at"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_recv_salt"),
-    ).withWatermark("_received_at", late)
+    ).where(F.col("send_id").isNotNull() & F.col("_received_at").isNotNull())
+    # the delay covers the way from a time to the end of its cell
+    delay = f"{late} {width} seconds"
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    sent = (
+        _packed(left.select("*", share.alias("_share"), cell("_sent_at").alias("_sent_by")), ["_share", "_sent_by"])
+        .select(F.col("pack").alias("_sent"), "_share", "_sent_by", copies.alias("_salt"))
+        .withWatermark("_sent_by", delay)
+    )
+    salt = F.pmod(F.xxhash64("recv_id"), F.lit(salts)).cast("int")
+    received = (
+        _packed(
+            right.select(
+                "*", share.alias("_recv_share"), salt.alias("_recv_salt"), cell("_received_at").alias("_received_by")
+            ),
+            ["_recv_share", "_recv_salt", "_received_by"],
+        )
+        .withColumnRenamed("pack", "_received")
+        .withWatermark("_received_by", delay)
+    )
+    near = F.expr(
+        f"_received_by >= _sent_by - interval {early} - interval {width} seconds and "
+        f"_received_by <= _sent_by + interval {longest} + interval {width} seconds"
+    )
+    meet = (F.col("_share") == F.col("_recv_share")) & (F.col("_salt") == F.col("_recv_salt")) & near
+    packs = sent.join(received, meet).select("_sent", "_received")
     bound = F.expr(
         f"_received_at >= _sent_at - interval {early} and "
         f"_received_at <= _sent_at + interval {longest}"
     )
-    match = (
-        (F.col("send_id") == F.col("_send_id")) & (F.col("_salt") == F.col("_recv_salt")) & bound
-    )
-    return left.join(right, match).select(
+    return _matched(packs, left.schema, right.schema, "send_id").where(bound).select(
         "recv_id",
         "send_id",
         "source",

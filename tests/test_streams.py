@@ -76,6 +76,16 @@ def test_pairs_and_first_by_id(spark, stream, log, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/f")) == rows(ids)
 
 
+def test_pairs_are_held_in_packs(spark, stream, log, tmp_path):
+    sends, recvs = stream.filter("type = 'send'"), stream.filter("type = 'recv'")
+    pairs = ls.pair_messages(sends, recvs, "1 hour", "1 hour", "1 hour", salts=2, shares=1)
+    query = _end(ls.ingest(pairs, f"{tmp_path}/p", f"{tmp_path}/pc"))
+    want = rel.message_pairs(log).select("recv_id", "send_id", "source", "target", "latency")
+    assert rows(spark.read.parquet(f"{tmp_path}/p")) == rows(want)
+    held = max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators)
+    assert 0 < held <= 12 < log.count()  # a batch brings two packs of each side
+
+
 def test_windows_in_append_mode_wait_for_the_watermark(spark, stream, tmp_path):
     windows = ls.events_per_window(stream, "10 seconds", "1 second")
     _end(ls.ingest(windows, f"{tmp_path}/w", f"{tmp_path}/wc"))
