@@ -135,7 +135,8 @@ def dot_statements(
         if device_attributes
         else F.lit(False)
     )
-    nodes = devices.join(shapes, "type").select(
+    # Types are few, devices and edges many.
+    nodes = devices.join(F.broadcast(shapes), "type").select(
         seq.cast("int").alias("seq"),
         F.lit(1).alias("part"),
         F.col("id").alias("key"),
@@ -160,7 +161,7 @@ def dot_statements(
         "label": F.when(labelled, F.col("message_type")),
         **{a: F.col(a).cast("string") for a in edge_attributes},
     }
-    arcs = edges.join(colours, "message_type").select(
+    arcs = edges.join(F.broadcast(colours), "message_type").select(
         seq.cast("int").alias("seq"),
         F.lit(2).alias("part"),
         F.col("id").alias("key"),
