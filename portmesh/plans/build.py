@@ -9,6 +9,7 @@ from portmesh.functions.scalars import sampled, within_limit
 from portmesh.functions.typed import merged_spec, specs_of, widen
 from portmesh.operators import rollups as roll
 from portmesh.operators.partitioning import partition_hierarchy
+from portmesh.operators.relations import edges_with_partitions
 from portmesh.session import checkpoint
 from portmesh.sinks.clustered import load_clustered, save_clustered
 from portmesh.sinks.tables import load_model, save_model
@@ -35,13 +36,16 @@ def build_model(
     depth = len(partition_columns(parts))
     tables: dict[str, DataFrame] = {"device_partitions": parts}
     if depth:
+        # The edges meet the partitions of their ends once, for all levels.
+        leaf = partition_columns(parts)[-1]
+        placed = checkpoint(edges_with_partitions(edges.select("source", "target"), parts, [leaf]))
         # Small next to the edges: one row per pair of leaf partitions that touch.
-        pairs = checkpoint(roll.leaf_pairs(edges, parts))
+        pairs = checkpoint(roll.leaf_pairs(edges, parts, placed))
         tables["partition_edges"] = roll.inner_partition_edges(pairs, depth).unionByName(
-            roll.partition_edges(edges, parts, depth)
+            roll.partition_edges(edges, parts, depth, placed)
         )
         tables["border_edges"] = roll.inner_border_edges(pairs, depth).unionByName(
-            roll.border_edges(edges, parts, depth)
+            roll.border_edges(edges, parts, depth, placed=placed)
         )
     states = model.device_states
     if states is not None:
