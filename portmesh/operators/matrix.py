@@ -58,6 +58,11 @@ class Smoother:
     def product(self, x: DataFrame) -> DataFrame:
         return _product(self.rest.join(x.select(F.col("i").alias("col"), F.col("value").alias("_x"))))
 
+    def residual(self, b: DataFrame, x: DataFrame) -> DataFrame:
+        """b − A·x with the matrix where it lies."""
+        own = x.join(self.diagonal, "i").select("i", (F.col("value") * F.col("_d")).alias("value"))
+        return combine(combine(b, self.product(x), -1.0), own, -1.0)
+
     def run(self, b: DataFrame, x: DataFrame, iterations: int) -> DataFrame:
         w = F.lit(float(self.omega))
         fixed = self.diagonal.join(b.select("i", F.col("value").alias("_b")), "i", "left")
@@ -129,7 +134,7 @@ def multigrid_cycle(
             smoothers[at] = Smoother(level.A, level.omega)
         smoother = smoothers[at]
         guess = smoother.run(rhs, guess, smoothing)
-        coarse_b = checkpoint(spmv(level.R, residual(level.A, guess, rhs)))
+        coarse_b = checkpoint(spmv(level.R, smoother.residual(rhs, guess)))
         coarse_x = coarse_b.select("i", F.lit(0.0).alias("value"))
         for _ in range(times):
             coarse_x = visit(at + 1, coarse_b, coarse_x, times if deep else 1)
