@@ -57,7 +57,7 @@ def graph_type_schema(depth: int) -> T.StructType:
 
 def read_rows(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
     """One row per ``tag`` element, from splits of any file; only the members named in ``schema`` are kept."""
-    return parsed(scan_elements(spark, path, tag), schema).drop("around")
+    return parsed(scan_elements(spark, path, tag), tag, schema).drop("tag", "around")
 
 
 @dataclass(frozen=True)
@@ -151,10 +151,10 @@ def read_graph_types(spark: SparkSession, path: str) -> Catalogue:
     first. Also accepts the older edge-type spelling."""
     # a few declarations, used many times
     found = checkpoint(scan_elements(spark, path, "GraphType"))
-    depth = _tuple_depth(found)
+    depth = _tuple_depth(found.select(F.explode("texts").alias("text")))
     schema = graph_type_schema(depth)
     message_types = schema["MessageTypes"].dataType["MessageType"].dataType
-    types = checkpoint(parsed(found, schema).drop("around").withColumnRenamed("_id", "graph_type"))
+    types = checkpoint(parsed(found, "GraphType", schema).drop("tag", "around").withColumnRenamed("_id", "graph_type"))
     no_port = F.lit(None).cast("string")
     messages = types.select(
         "graph_type",
@@ -229,7 +229,7 @@ def read_graphs(spark: SparkSession, path: str, properties: bool = True) -> Data
     """Graph instances: id, type, property text and metadata text, from the head of each ``GraphInstance``,
     which ends where its devices or edges begin. ``properties=False`` leaves the texts out."""
     schema = _struct(_id=TEXT, _graphTypeId=TEXT, Properties=TEXT, MetaData=TEXT)
-    heads = parsed(scan_elements(spark, path, "GraphInstance"), schema, "GraphInstance")
+    heads = parsed(scan_elements(spark, path, "GraphInstance"), "GraphInstance", schema, "GraphInstance")
     columns = {"id": "_id", "graph_type": "_graphTypeId"}
     if properties:
         columns |= {"props": "Properties", "metadata": "MetaData"}
@@ -242,7 +242,7 @@ def _members_of(
     """Elements of graph instances, with the ``graph_id`` of the instance around them if asked for."""
     if not graph_id:
         return read_rows(spark, path, tag, schema)
-    rows = parsed(scan_elements(spark, path, tag, "GraphInstance", "id"), schema)
+    rows = parsed(scan_elements(spark, path, tag, "GraphInstance", "id"), tag, schema)
     return rows.withColumn("graph_id", F.get("around", F.lit(0)))
 
 

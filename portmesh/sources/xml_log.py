@@ -61,13 +61,12 @@ def read_events(spark: SparkSession, path: str, max_time: float | None = None) -
     ``max_time`` drops later events; rows at the limit stay. All kinds are read in one scan.
     """
     kinds = {event_tag(kind): kind for kind in _BY_KIND}
-    found = scan_elements(spark, path, " ".join(kinds))
+    tags = " ".join(kinds)
     # every attribute of any kind; an event has those of its own
     schema = T.StructType(list({f.name: f for kind in _BY_KIND for f in event_schema(kind)}.values()))
-    tag = F.regexp_extract("text", r"^<(\w+)", 1)
+    raw = parsed(scan_elements(spark, path, tags), tags, schema)
     kind = F.when(F.lit(False), "")
     for name, value in kinds.items():
-        kind = kind.when(tag == name, value)
-    raw = parsed(found.withColumn("around", kind), schema)
-    events = shape_events(raw, F.col("around"))
+        kind = kind.when(F.col("tag") == name, value)
+    events = shape_events(raw, kind)
     return events if max_time is None else events.filter(within_limit("time", max_time))

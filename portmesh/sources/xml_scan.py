@@ -4,8 +4,9 @@ A file is split anywhere. Its text is read as one row per tag, with the text beh
 ``<``), and each task puts the tags of its split together to elements, whole Arrow batches at a time. What a task cannot
 know is settled by a table with one row per split: the element that a split's end cuts goes on with the head of the next
 split, and the last opening tag of the surrounding element (such as ``GraphSnapshot``) is carried on to the splits that
-don't hold one. So a row is one small element, however large the element around it is. Files of more than one split
-are taken apart once for the elements and once for that table.
+don't hold one. A row is a pack of small elements in a row, however large the element around them is: an XML
+parser costs more to set up than an element costs to parse, so a pack is parsed at once. Files of more than one split are
+taken apart once for the elements and once for that table.
 
 A comment or CDATA section may hold anything, but if it contains one of the tags below and a split's end lies inside it,
 those tags count in the second split.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,9 @@ ELEMENTS = (
     "GraphLog InitEvent SendEvent RecvEvent GraphSnapshot DevS EdgeS"
 ).split()
 
+# A pack is closed by either; a larger element is a pack of its own.
+PACK_ROWS, PACK_BYTES = 100, 1 << 16
+
 _EMPTY = r"""^[^\s/>]+(?:\s+[^\s=]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*/>"""
 _OTHER, _OPEN, _WHOLE, _CLOSE, _AROUND = range(5)
 
@@ -89,8 +93,8 @@ class _Split:
                 return out
             self.skipping, i = None, stop
 
-    def feed(self, tags: pa.Array) -> tuple[list[str], pa.Array, pa.Array | None]:
-        """Elements that end in these tags: one begun before, and the others; and what is around each."""
+    def feed(self, tags: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """Elements that end in these tags, one begun before first; and what is around each, as places in a list."""
         live = pc.match_substring_regex(tags, self.known).to_numpy(zero_copy_only=False)
         unread = self._unread(tags)
         if unread is not None:
@@ -101,7 +105,7 @@ class _Split:
                 self.head.append(_joined(tags))
             elif self.open is not None:
                 self.open.append(_joined(tags))
-            return [], _lists([]), None
+            return pa.array([], pa.string()), np.arange(0), _lists([])
         some = tags.take(pa.array(at))
         kind = np.full(len(at), _OTHER)
         for k, pattern in self.patterns.items():
@@ -136,7 +140,7 @@ class _Split:
             begins, stops, held = begins[:-1], stops[:-1], held[:-1]
         self.around = known[-1]
         if not len(begins) or not self.build:
-            return ready, _lists(ready_around), None
+            return pa.array(ready, pa.string()), np.arange(len(ready)), _lists(ready_around)
         starts = at[begins]
         sizes = stops - starts
         offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -145,7 +149,7 @@ class _Split:
         texts = pc.binary_join_element_wise("", pc.binary_join(lists, "<"), "<")
         around = _lists([*ready_around, *known])
         places = np.concatenate([np.arange(len(ready)), len(ready) + held])
-        return ready, around.take(pa.array(places)), texts
+        return pa.concat_arrays([pa.array(ready, pa.string()), texts]), places, around
 
 
 def _lists(values: list) -> pa.Array:
@@ -162,7 +166,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array]]
                 yield (int(file[a]), int(split[a])), batch.column(0).slice(a, b - a)
 
 
-_INSIDE = pa.schema([("file", pa.int64()), ("split", pa.int64()), ("text", pa.string()), ("around", pa.list_(pa.string()))])
+def _packs(texts: pa.Array, places: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Neighbours with the same element around them as lists, and where each list begins."""
+    n = len(texts)
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = np.arange(n) % PACK_ROWS == 0
+    cut |= np.diff(np.cumsum(size) // PACK_BYTES, prepend=-1) != 0
+    cut[1:] |= (size[:-1] >= PACK_BYTES) | (np.diff(places) != 0)
+    starts = np.flatnonzero(cut)
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), texts), starts
+
+
+_INSIDE = pa.schema(
+    [("file", pa.int64()), ("split", pa.int64()), ("texts", pa.list_(pa.string())), ("around", pa.list_(pa.string()))]
+)
 _ENDS = pa.schema(
     [("file", pa.int64()), ("split", pa.int64()), ("head", pa.string()), ("blank", pa.bool_()), ("open", pa.string()),
      ("open_around", pa.list_(pa.string())), ("around", pa.list_(pa.string()))]
@@ -175,13 +192,12 @@ def _inside(tags: tuple[str, ...], around: str | None, names: tuple[str, ...]):
         for now, values in _runs(batches):
             if now != key:
                 key, split = now, _Split(tags, around, names)
-            ready, held, texts = split.feed(values)
-            found = pa.array(ready, pa.string())
-            if texts is not None:
-                found = pa.concat_arrays([found, texts])
+            found, places, held = split.feed(values)
             if len(found):
-                columns = [pa.array(np.full(len(found), k, np.int64)) for k in key]
-                yield pa.RecordBatch.from_arrays([*columns, found, held], schema=_INSIDE)
+                packs, starts = _packs(found, places)
+                columns = [pa.array(np.full(len(starts), k, np.int64)) for k in key]
+                around_each = held.take(pa.array(places[starts]))
+                yield pa.RecordBatch.from_arrays([*columns, packs, around_each], schema=_INSIDE)
 
     return run
 
@@ -212,8 +228,9 @@ def _ends(tags: tuple[str, ...], around: str | None, names: tuple[str, ...]):
 def scan_elements(
     spark: SparkSession, path: str, tags: str, around: str | None = None, attributes: str = ""
 ) -> DataFrame:
-    """``text`` of each element with one of the ``tags`` (space separated), and ``around``: the values of the
-    named ``attributes`` of the last opening tag ``around`` before it in its file, null if there is none.
+    """``texts`` of the elements with one of the ``tags`` (space separated), some neighbours to a row, and ``around``:
+    the values of the named ``attributes`` of the last opening tag ``around`` before them in their file, null if there is
+    none.
 
     An element that one of ``ELEMENTS`` opens or closes before its own end lasts only to there: so the text of a
     ``GraphInstance`` is its head. The order of rows is not that of the file.
@@ -225,7 +242,7 @@ def scan_elements(
                 (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("part"))
     )
     columns = ["value", "file", "split"]
-    inside = lines.select(*columns).mapInArrow(_inside(*how), "file long, split long, text string, around array<string>")
+    inside = lines.select(*columns).mapInArrow(_inside(*how), "file long, split long, texts array<string>, around array<string>")
     # only files that are split have anything to settle
     ends = lines.where("part").select(*columns).mapInArrow(
         _ends(*how),
@@ -238,24 +255,61 @@ def scan_elements(
         F.last("around", True).over(before).alias("carried"),
         F.last(F.when(~F.col("blank"), F.col("split")), True).over(before).alias("cut"),
     )
-    heads = ends.where(F.col("head").isNotNull() & F.col("cut").isNotNull()).groupBy("file", F.col("cut").alias("split")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "head"))), lambda x: x["head"]), "<").alias("rest")
+    # the head of a split belongs to the cut split before it
+    pieces = ends.select("file", F.explode(F.array(
+        F.struct("split", "open", "open_around", "carried", F.lit(None).cast("struct<split:bigint,head:string>").alias("head")),
+        F.struct(F.col("cut").alias("split"), *(F.lit(None).cast(t).alias(c) for c, t in (
+            ("open", "string"), ("open_around", "array<string>"), ("carried", "array<string>"))),
+            F.when(F.col("head").isNotNull(), F.struct("split", "head")).alias("head")),
+    )).alias("p")).select("file", "p.*")
+    joined = pieces.groupBy("file", "split").agg(
+        F.max("open").alias("open"), F.max("open_around").alias("open_around"), F.max("carried").alias("carried"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("head")), lambda x: x["head"]), "<").alias("rest"),
+        F.count("head").alias("heads"),
     )
-    across = ends.where(F.col("open").isNotNull()).join(heads, ["file", "split"], "left").select(
-        F.concat_ws("<", "open", "rest").alias("text"), F.coalesce("open_around", "carried").alias("around")
+    across = joined.where("open is not null").select(
+        F.array(F.concat_ws("<", "open", F.when(F.col("heads") > 0, F.col("rest")))).alias("texts"),
+        F.coalesce("open_around", "carried").alias("around"),
     )
     if around:
         carried = ends.select("file", "split", "carried")
         inside = inside.join(carried, ["file", "split"], "left").withColumn("around", F.coalesce("around", "carried"))
-    return inside.select("text", "around").unionByName(across)
+    return inside.select("texts", "around").unionByName(across)
 
 
-def parsed(elements: DataFrame, schema: T.StructType, head: str | None = None) -> DataFrame:
-    """The members of ``schema`` of each element, and ``around``. ``head`` names an element that may be
-    without its end."""
-    text = F.rtrim(F.col("text"), F.lit(" \t\r\n"))
+def parsed(elements: DataFrame, tags: str, schema: T.StructType, head: str | None = None) -> DataFrame:
+    """The members of ``schema`` of each element with one of the ``tags``, its ``tag``, and ``around``. ``head`` names an
+    element that may be without its end.
+
+    A pack is parsed as one document; if that fails, its elements are parsed one by one.
+    """
+    trimmed = lambda text: F.rtrim(text, F.lit(" \t\r\n"))
     if head:
-        whole = text.rlike(rf"</{head}\s*>$|^<[^<]*/>$")
-        text = F.when(whole, text).otherwise(F.concat(text, F.lit(f"</{head}>")))
+
+        def ended(text: Column) -> Column:
+            whole = trimmed(text).rlike(rf"</{head}\s*>$|^<[^<]*/>$")
+            return F.when(whole, text).otherwise(F.concat(trimmed(text), F.lit(f"</{head}>")))
+
+        elements = elements.withColumn("texts", F.transform("texts", ended))
     options = {"valueTag": "_text", "ignoreNamespace": "true"}
-    return elements.select(F.from_xml(text, schema, options).alias("_e"), "around").select("_e.*", "around")
+    names = tags.split()
+    together = T.StructType(
+        [*(T.StructField(n, T.ArrayType(schema)) for n in names), T.StructField("_unread", T.StringType())]
+    )
+    document = F.concat(F.lit("<_>"), F.array_join("texts", "\n"), F.lit("</_>"))
+    packs = elements.withColumn(
+        "_all", F.from_xml(document, together, {**options, "columnNameOfCorruptRecord": "_unread"})
+    )
+
+    def of(tag: str) -> Column:
+        found = F.coalesce(F.col(f"_all.{tag}"), F.array().cast(T.ArrayType(schema)))
+        return F.transform(found, lambda e: F.struct(F.lit(tag).alias("tag"), e.alias("_e")))
+
+    def single(text: Column) -> Column:
+        tag = F.regexp_extract(text, r"^<([^\s/>]+)", 1)
+        return F.struct(tag.alias("tag"), F.from_xml(trimmed(text), schema, options).alias("_e"))
+
+    whole = F.concat(*(of(n) for n in names))
+    good = F.col("_all").isNotNull() & F.col("_all._unread").isNull() & (F.size(whole) == F.size("texts"))
+    rows = packs.select("around", F.inline(F.when(good, whole).otherwise(F.transform("texts", single))))
+    return rows.select("_e.*", "tag", "around")

@@ -31,7 +31,7 @@ def _snapshots(
     if max_epoch is not None:
         kept = kept.filter(within_limit(time, max_epoch))
     sequence = header(1).cast("bigint")
-    return parsed(kept, schema).select(
+    return parsed(kept, member, schema).select(
         header(0).alias("graph_id"),
         sequence.alias("sequence"),
         F.floor(time).cast("bigint").alias("epoch"),
