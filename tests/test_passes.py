@@ -68,3 +68,19 @@ def test_dot_edges_stay_where_they_are(spark, no_small_tables):
     out = dot_statements(devices, edges)
     assert "SortMergeJoin" not in _plan(out, "executedPlan")
     assert out.filter(F.col("part") == 2).count() == 1
+
+
+@pytest.mark.parametrize("hub", [False, True])
+def test_touched_edges_are_spread_by_their_number(spark, no_small_tables, hub):
+    sends = [(f"s{0 if hub else i % 40}", "send", f"p{i % 3}") for i in range(120)]
+    events = spark.createDataFrame([*sends, ("lone", "init", None), (None, "send", "p0")], "dev string, type string, port string")
+    events = events.selectExpr("*", "cast(null as string) as id", "cast(null as string) as send_id", "0.0 as time")
+    links = [(f"s{0 if hub else i % 50}", f"t{i % 70}", f"p{i % 4}", "in") for i in range(200)] + [(None, "t", "p0", "in")]
+    edges = spark.createDataFrame(links * 2, "source string, target string, source_port string, target_port string")
+    fired = {e for e in links if (e[0], "send", e[2]) in sends}
+    want = {("device", d) for d in {d for d, _, _ in sends} | {"lone", None} | {e[1] for e in fired}}
+    want |= {("edge", f"{t}:{i}-{s}:{o}") for s, t, o, i in fired}
+    for tasks, known in ((1, {}), (41, {}), (9, {"rows": 90})):
+        got = roll.touched(events, edges, rows_per_task=10 if tasks > 1 else 10**6, **known)
+        assert rows(got) == sorted(want, key=lambda r: tuple(map(str, r)))
+        assert tasks == 1 or f", {tasks}), REPARTITION_BY_NUM" in _plan(got, "executedPlan")
