@@ -10,7 +10,13 @@ from portmesh.sources.xml_graph import Catalogue, graph_type_schema
 from portmesh.sources.xml_log import event_tag
 
 
-def _write(df: DataFrame, path: str, row: str, root: str, namespace: str | None, mode: str) -> None:
+# Events in a compressed file, which one task reads.
+EVENTS_PER_FILE = 500_000
+
+
+def _write(
+    df: DataFrame, path: str, row: str, root: str, namespace: str | None, mode: str, **options: str
+) -> None:
     opening = f'{root} xmlns="{namespace}"' if namespace else root
     (
         df.write.format("xml")
@@ -19,6 +25,7 @@ def _write(df: DataFrame, path: str, row: str, root: str, namespace: str | None,
         .option("rootTag", opening)
         .option("valueTag", "_text")
         .option("declaration", 'version="1.0" encoding="UTF-8"')
+        .options(**options)
         .save(path)
     )
 
@@ -146,9 +153,21 @@ def write_edges_xml(
 
 
 def write_events_xml(
-    events: DataFrame, path: str, namespace: str | None = None, mode: str = "errorifexists"
+    events: DataFrame,
+    path: str,
+    namespace: str | None = None,
+    mode: str = "errorifexists",
+    compressed: bool = False,
+    per_file: int = EVENTS_PER_FILE,
 ) -> None:
-    """Events, one folder per kind under ``path``."""
+    """Events, one folder per kind under ``path``.
+
+    ``compressed`` files (gzip) can't be read in splits, so each holds at most ``per_file`` events.
+    """
+    options = {}
+    if compressed:
+        # the text repeats so much that the fastest level takes most of it
+        options = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": str(per_file)}
     flag = F.when(F.col("cancel"), "1").otherwise("0")
     common = {
         "_eventId": F.col("id"),
@@ -170,7 +189,7 @@ def write_events_xml(
         rows = events.filter(F.col("type") == kind).select(
             *[value.alias(name) for name, value in columns.items()]
         )
-        _write(rows, f"{path}/{kind}", event_tag(kind), "GraphLog", namespace, mode)
+        _write(rows, f"{path}/{kind}", event_tag(kind), "GraphLog", namespace, mode, **options)
 
 
 def snapshot_rows(

@@ -36,6 +36,7 @@ PACK_ROWS, PACK_BYTES = 100, 1 << 16
 
 _EMPTY = r"""^[^\s/>]+(?:\s+[^\s=]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*/>"""
 _OTHER, _OPEN, _WHOLE, _CLOSE, _AROUND = range(5)
+_WHOLE_FILES = r"\.(gz|deflate)$"
 
 
 def _one_of(names) -> str:
@@ -243,8 +244,8 @@ def scan_elements(
     )
     columns = ["value", "file", "split"]
     inside = lines.select(*columns).mapInArrow(_inside(*how), "file long, split long, texts array<string>, around array<string>")
-    # only files that are split have anything to settle
-    ends = lines.where("part").select(*columns).mapInArrow(
+    # only files that are split have anything to settle; those that can't be are not read for it
+    ends = lines.where("part").where(~F.col("_metadata.file_name").rlike(_WHOLE_FILES)).select(*columns).mapInArrow(
         _ends(*how),
         "file long, split long, head string, blank boolean, open string, open_around array<string>, around array<string>",
     )

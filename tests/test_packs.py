@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from portmesh.sinks import xml
 from portmesh.sources import xml_log, xml_snapshots
 from portmesh.sources.xml_scan import PACK_BYTES, PACK_ROWS, parsed, scan_elements
 
@@ -62,3 +63,20 @@ def test_packs_are_cut_at_snapshots_and_large_elements(spark, tmp_path):
     assert rows(got) == rows(spark.createDataFrame(
         [(d, e, PACK_BYTES if d == "b" else None) for d in "abc" for e in range(3)], "id string, epoch bigint, n int"
     ))
+
+
+def test_compressed_events_in_small_files(spark, tmp_path):
+    events = spark.range(2500).selectExpr(
+        "if(id = 7, 'a&<b', concat('e', id)) as id", "concat('d', id % 9) as dev", "if(id % 3 = 0, 'send', 'recv') as type",
+        "id / 2 as time", "0.0 as elapsed", "id % 4 as rts", "id as seq", "'p' as port", "if(id % 3 = 0, null, concat('e', id - 1)) as send_id",
+        "if(id % 3 = 0, id % 2 = 0, null) as cancel", "if(id % 3 = 0, 3, null) as fanout", "if(id % 3 = 0, '\"w\":1', null) as m",
+        "if(id % 5 = 0, null, concat('\"v\":', id)) as s", "array('seen', concat('<', id, '>')) as l",
+    )
+    xml.write_events_xml(events, f"{tmp_path}/plain")
+    xml.write_events_xml(events, f"{tmp_path}/packed", compressed=True, per_file=100)
+    got = xml_log.read_events(spark, f"{tmp_path}/packed")
+    assert rows(got) == rows(xml_log.read_events(spark, f"{tmp_path}/plain")) and got.count() == 2500
+    files = [*(tmp_path / "packed").rglob("part-*")]
+    assert all(f.name.endswith(".xml.gz") for f in files) and len(files) >= 25
+    size = lambda folder: sum(f.stat().st_size for f in (tmp_path / folder).rglob("part-*"))
+    assert size("packed") < size("plain") / 2
