@@ -1,12 +1,16 @@
 """Joins and roll-ups read their large side no more often than they need to."""
 
+from pathlib import Path
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from portmesh.operators import matrix as mx
+from portmesh.operators import partitioning as pt
 from portmesh.operators import rollups as roll
 from portmesh.operators.supersteps import PlacedEdges
+from portmesh.session import ensure_checkpoint_dir
 from portmesh.sinks.text import dot_statements
 
 
@@ -84,3 +88,58 @@ def test_touched_edges_are_spread_by_their_number(spark, no_small_tables, hub):
         got = roll.touched(events, edges, rows_per_task=10 if tasks > 1 else 10**6, **known)
         assert rows(got) == sorted(want, key=lambda r: tuple(map(str, r)))
         assert tasks == 1 or f", {tasks}), REPARTITION_BY_NUM" in _plan(got, "executedPlan")
+
+
+def _left(spark):
+    """Files and folders that operators left beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    return {p.name for p in top.iterdir() if not p.name.startswith("rdd-")}
+
+
+def test_placed_edges_lie_in_files_by_key(spark, no_small_tables):
+    edges = spark.range(3000).selectExpr("concat('d', id % 50) as source", "concat('e', id % 7) as target", "id as w")
+    edges = edges.union(spark.createDataFrame([(None, "e1", 1), ("d1", None, 2)], edges.schema))
+    before = _left(spark)
+    placed = PlacedEdges(edges, "source", "target", block=40)
+    assert len(_left(spark) - before) == 1 and not spark.sparkContext._jsc.getPersistentRDDs()
+    values = spark.createDataFrame([(f"d{i}", i) for i in range(40)], "source string, v int")
+    joined = placed.join(values)
+    assert rows(joined.select("source", "target", "w", "v")) == rows(edges.join(values, "source"))
+    assert _plan(joined, "executedPlan").count("Exchange hashpartitioning") == 1  # the values alone
+    placed.release()
+    assert _left(spark) == before and not spark.catalog.listTables()
+
+
+def _edges(spark, n, seed):
+    ends = [F.concat(F.lit("d"), F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(60))) for k in (0, 1)]
+    return spark.range(n).select(ends[0].alias("source"), ends[1].alias("target"))
+
+
+def test_pairs_at_hand_give_the_same_partitions(spark):
+    edges = _edges(spark, 400, 3).unionByName(spark.createDataFrame([(None, "d1"), ("far", "d2")], "source string, target string"))
+    devices = spark.range(60).select(F.concat(F.lit("d"), "id").alias("id"))
+    pairs = pt.weighted_pairs(edges).persist()
+    before = _left(spark)
+    plain = pt.partition_hierarchy(edges, devices, nodes_per_part=5, rounds=1)
+    at_hand = pt.partition_hierarchy(edges, devices, nodes_per_part=5, rounds=1, pairs=pairs)
+    assert rows(plain) == rows(at_hand) and plain.columns == ["id", "partition_0", "partition_1"]
+    assert len(_left(spark) - before) == 2  # the two results
+    start = devices.select("id", F.pmod(F.xxhash64("id"), F.lit(4)).alias("part"))
+    weighted = pairs.toDF("source", "target", "weight")
+    near = pt.place_pairs(pairs)
+    for mode in ("greedy", "anneal", "batch"):
+        one = pt.refine_partition(edges, start, 4, rounds=2, mode=mode, seed=2)
+        other = pt.refine_partition(weighted, start, 4, rounds=2, mode=mode, seed=2, placed=near)
+        assert rows(one) == rows(other)
+        assert rows(pt.partition_cost(edges, one, 4)) == rows(pt.partition_cost(weighted, one, 4))
+    near.release()
+    pairs.unpersist()
+    assert len(_left(spark) - before) == 8
+
+
+def test_levels_with_repeated_devices(spark):
+    edges = _edges(spark, 300, 5)
+    devices = spark.range(90).select(F.concat(F.lit("d"), F.col("id") % 60).alias("id"))
+    parts = pt.partition_hierarchy(edges, devices, nodes_per_part=5, rounds=1)
+    assert parts.select("id").distinct().count() == 60 and parts.count() >= 90
