@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portmesh.operators.supersteps import CHECKPOINT_EVERY, EDGES_PER_BLOCK, PlacedEdges
-from portmesh.session import checkpoint
+from portmesh.session import checkpoint, drop, stored
 
 
 def spmv(matrix: DataFrame, x: DataFrame) -> DataFrame:
@@ -38,7 +38,12 @@ def residual(matrix: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
 
 def residual_norm(matrix: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
     """One row: Euclidean and largest absolute residual."""
-    return residual(matrix, x, b).agg(
+    return norm(residual(matrix, x, b))
+
+
+def norm(vector: DataFrame) -> DataFrame:
+    """One row: Euclidean and largest absolute value."""
+    return vector.agg(
         F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("l2"),
         F.max(F.abs("value")).alias("max_abs"),
     )
@@ -49,8 +54,8 @@ class Smoother:
 
     def __init__(self, matrix: DataFrame, omega: float, block: int = EDGES_PER_BLOCK):
         self.omega = omega
-        self.diagonal = matrix.filter(F.col("row") == F.col("col")).select(
-            F.col("row").alias("i"), F.col("value").alias("_d")
+        self.diagonal = stored(
+            matrix.filter(F.col("row") == F.col("col")).select(F.col("row").alias("i"), F.col("value").alias("_d")), "diagonal"
         )
         rest = matrix.filter(F.col("row") != F.col("col")).select("row", "col", "value")
         self.rest = PlacedEdges(rest, "col", "row", block)
@@ -63,6 +68,16 @@ class Smoother:
         own = x.join(self.diagonal, "i").select("i", (F.col("value") * F.col("_d")).alias("value"))
         return combine(combine(b, self.product(x), -1.0), own, -1.0)
 
+    def coarse(self, p: DataFrame) -> DataFrame:
+        """Sums of the matrix over pairs of groups, with ``p(row, col)`` the groups of each row."""
+        right = p.select(F.col("row").alias("col"), F.col("col").alias("_c"))
+        left = p.select("row", F.col("col").alias("_r"))
+        # the matrix lies by column, so the sums over those come first
+        sums = self.rest.join(right).groupBy("row", "_c").agg(F.sum("value").alias("value")).join(left, "row")
+        own = self.diagonal.select(F.col("i").alias("row"), F.col("i").alias("col"), F.col("_d").alias("value"))
+        both = sums.select("_r", "_c", "value").unionByName(own.join(left, "row").join(right, "col").select("_r", "_c", "value"))
+        return both.groupBy(F.col("_r").alias("row"), F.col("_c").alias("col")).agg(F.sum("value").alias("value"))
+
     def run(self, b: DataFrame, x: DataFrame, iterations: int) -> DataFrame:
         w = F.lit(float(self.omega))
         fixed = self.diagonal.join(b.select("i", F.col("value").alias("_b")), "i", "left")
@@ -82,6 +97,7 @@ class Smoother:
 
     def release(self) -> None:
         self.rest.release()
+        drop(self.diagonal)
 
 
 def jacobi(
@@ -115,13 +131,16 @@ def multigrid_cycle(
     gamma: int = 1,
     smoothing: int = 1,
     deep: bool = False,
+    smoothers: dict[int, Smoother] | None = None,
 ) -> DataFrame:
     """One multigrid cycle over given level tables, finest first.
 
     ``gamma=1`` is a V-cycle. ``gamma=2`` visits the next grid twice, each time with a V-cycle below
     it, or with the full W recursion when ``deep``. The coarsest grid is divided by its diagonal.
+    ``smoothers`` are those of levels whose matrix is placed already; they are not released.
     """
-    smoothers: dict[int, Smoother] = {}
+    given = set(smoothers or {})
+    smoothers = dict(smoothers or {})
 
     def visit(at: int, rhs: DataFrame, guess: DataFrame, times: int) -> DataFrame:
         level = levels[at]
@@ -142,6 +161,7 @@ def multigrid_cycle(
         return smoother.run(rhs, guess, smoothing)
 
     out = checkpoint(visit(0, b, x, gamma))
-    for smoother in smoothers.values():
-        smoother.release()
+    for at, smoother in smoothers.items():
+        if at not in given:
+            smoother.release()
     return out

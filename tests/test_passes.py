@@ -143,3 +143,16 @@ def test_levels_with_repeated_devices(spark):
     devices = spark.range(90).select(F.concat(F.lit("d"), F.col("id") % 60).alias("id"))
     parts = pt.partition_hierarchy(edges, devices, nodes_per_part=5, rounds=1)
     assert parts.select("id").distinct().count() == 60 and parts.count() >= 90
+
+
+def test_coarse_matrix_of_the_placed_one(spark):
+    a = spark.createDataFrame([("a", "a", 4.0), ("b", "b", 4.0), ("a", "b", -1.0), ("b", "a", -3.0), ("c", "c", 2.0)], "row string, col string, value double")
+    p = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 1.0), ("c", "y", 1.0)], "row string, col string, value double")
+    b = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "i string, value double")
+    smoother = mx.Smoother(a, 0.8)
+    assert rows(smoother.coarse(p)) == [("x", "x", 4.0), ("y", "y", 2.0)]
+    levels = [mx.Level(a, p, p.selectExpr("col as row", "row as col", "value"), 0.8), mx.Level(smoother.coarse(p).filter("row = 'x'"))]
+    want = rows(mx.multigrid_cycle(levels, b, b))
+    assert rows(mx.multigrid_cycle(levels, b, b, smoothers={0: smoother})) == want
+    assert rows(mx.norm(smoother.residual(b, b))) == rows(mx.residual_norm(a, b, b))
+    smoother.release()
